@@ -187,3 +187,24 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 def identify(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     return predict(docs, fit(docs))
+
+
+def tag(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """The documents with their predicted language as ``lang`` (``und`` as in :func:`predict`); other columns stay.
+
+    Rows go through Python with their columns, so nothing is joined.
+    """
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "lang" else f for f in docs.schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            lang = np.full(len(texts), "und", dtype=object)
+            known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model else []
+            if known:
+                lang[known] = model.predict(ngrams([texts[i] for i in known]))[0]
+            yield batch.set_column(batch.schema.get_field_index("lang"), "lang", pa.array(lang.tolist(), pa.string()))
+
+    return docs.mapInArrow(run, schema)

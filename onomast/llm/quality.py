@@ -148,3 +148,15 @@ def predict(docs: DataFrame, model: BoostedTrees | None) -> DataFrame:
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     return predict(docs, fit(docs, labels))
+
+
+def keep(docs: DataFrame, model: BoostedTrees | None) -> DataFrame:
+    """The documents that are predicted 1, with all their columns; all where nothing could be learned."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            x = np.array([statistics(t) for t in texts]).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(model.score(x) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema) if model else docs
