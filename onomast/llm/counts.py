@@ -7,6 +7,7 @@ either side, and updates the sums above them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ from onomast.llm.base import prepare
 from onomast.llm.word_cache import CachedEncoder, encoder
 
 CHUNKS_PER_LEAF = 32
+_LONE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class CountTree:
@@ -26,18 +28,22 @@ class CountTree:
     def __init__(self, text: str, code: CachedEncoder, parts: list[bytes] | None = None):
         self.code = code
         parts = next(code.parts([text])) if parts is None else parts
-        counts = np.array([len(p) // 4 for p in parts], dtype=np.int64)
         chunks = text.split(" ")
-        if len(parts) != len(chunks):  # a text that is encoded as a whole is one leaf
-            chunks, counts = [text], np.array([counts.sum()])
-        starts = range(0, len(chunks), CHUNKS_PER_LEAF)
-        self.leaves = [(" " if k else "") + " ".join(chunks[k : k + CHUNKS_PER_LEAF]) for k in starts]
-        self.cuttable = len(chunks) > 1 or len(parts) == 1 and " " not in text
+        if len(parts) == len(chunks):
+            counts = np.array([len(p) // 4 for p in parts], dtype=np.int64)
+            starts = list(range(0, len(chunks), CHUNKS_PER_LEAF))
+            self.leaves = [(" " if k else "") + " ".join(chunks[k : k + CHUNKS_PER_LEAF]) for k in starts]
+            tokens = np.add.reduceat(counts, starts)
+        else:  # irregular white space: cut at lone blanks between words only
+            cuts = [0, *[m.start() for m in _LONE.finditer(text)][CHUNKS_PER_LEAF - 1 :: CHUNKS_PER_LEAF], len(text)]
+            self.leaves = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            coded = [*code.parts(self.leaves[:1]), *code.parts(self.leaves[1:], spaced=True)]
+            tokens = [sum(len(p) // 4 for p in x) for x in coded]
         self.width = 1 << max(0, len(self.leaves) - 1).bit_length()
         self.sums = np.zeros((2 * self.width, 2), dtype=np.int64)
         leaf = self.sums[self.width : self.width + len(self.leaves)]
         leaf[:, 0] = [len(x) for x in self.leaves]
-        leaf[:, 1] = np.add.reduceat(counts, list(starts))
+        leaf[:, 1] = tokens
         for k in range(self.width.bit_length() - 2, -1, -1):
             level = self.sums[2 << k : 4 << k]
             self.sums[1 << k : 2 << k] = level[0::2] + level[1::2]
