@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 
@@ -21,6 +23,7 @@ MAX_CHUNKS = 500_000
 BLOCK_CHARS = 1_000_000
 #: A run of these after an ASCII letter is a pre-token of its own in both vocabularies.
 _TAIL = ",.!?;:"
+_ENDS = frozenset(_TAIL)
 _ODD_CONTROLS = frozenset("\x1c\x1d\x1e\x1f\x85")
 
 
@@ -42,6 +45,10 @@ class CachedEncoder:
     @staticmethod
     def _parts(chunk: str, lead: str) -> list[str] | None:
         """The words of a chunk that are encoded apart, each with its lead; None if it must not be cut off."""
+        if chunk.isalpha():
+            return [lead + chunk]
+        if chunk[-1:] in _ENDS and chunk[:-1].isalpha() and chunk[-2].isascii():
+            return [lead + chunk[:-1], chunk[-1]]
         out = []
         for line in chunk.split("\n"):
             if not line or line[0].isspace() or line[-1].isspace() or not _ODD_CONTROLS.isdisjoint(line):
@@ -70,40 +77,40 @@ class CachedEncoder:
 
     def _block(self, texts: list[str], spaced: bool) -> Iterator[list[bytes] | None]:
         table, known = self._table, self._words
+        if len(table) > MAX_CHUNKS:
+            table.clear()
         split = [(x[1:] if spaced else x).split(" ") for x in texts]
-        found, firsts, lack = [], [], {}
-        for chunks in split:
-            if not spaced:
-                firsts.append(chunks[0])
+        firsts = [] if spaced else [x[0] for x in split]
+        if not spaced:
+            for chunks in split:
                 chunks[0] = ""
-            got = list(map(table.get, chunks))
-            if not spaced:
-                got[0] = b""
-            found.append(got)
+        table[""] = b""  # stands for a text's first chunk; a later empty chunk is a run of blanks
+        found = [list(map(table.get, chunks)) for chunks in split]
+        lack: set[str] = set()
+        for chunks, got in zip(split, found, strict=True):
             if None in got:
-                for x, y in zip(chunks, got, strict=True):
-                    if y is None:
-                        lack[x] = None
+                lack.update(compress(chunks, map(is_, got, repeat(None))))
         cut = {x: self._parts(x, " ") for x in lack}
         heads = {x: self._parts(x, "") for x in firsts}
         need = {w for parts in (*cut.values(), *heads.values()) if parts for w in parts}
-        if new := [w for w in need if w not in known]:
-            self._learn(new)
-            if missing := [w for w in need if w not in known]:  # the table has just been emptied
-                self._learn(missing)
-        fresh = {x: parts and b"".join([known[w] for w in parts]) for x, parts in cut.items()}
+        if new := need.difference(known):
+            self._learn(list(new))
+            if missing := need.difference(known):  # the table has just been emptied
+                self._learn(list(missing))
+        table.update((x, known[parts[0]] if len(parts) == 1 else b"".join([known[w] for w in parts])) for x, parts in cut.items() if parts)
         for k, (chunks, got) in enumerate(zip(split, found, strict=True)):
             if None in got:
-                got = [fresh[x] if y is None else y for x, y in zip(chunks, got, strict=True)]
-            if None in got or not spaced and heads[firsts[k]] is None:
+                got = list(map(table.get, chunks))
+            empty = chunks.count("") - (not spaced)
+            if empty or None in got or not spaced and heads[firsts[k]] is None:
                 yield None
             else:
                 if not spaced:
                     got[0] = b"".join([known[w] for w in heads[firsts[k]]])
                 yield got
-        if len(table) > MAX_CHUNKS:
-            table.clear()
-        table.update((x, y) for x, y in fresh.items() if y is not None and "\n" not in x)
+        for x in lack:
+            if "\n" in x:
+                table.pop(x, None)  # line joints are rarely seen twice
 
     def parts(self, texts: Iterable[str | None], spaced: bool = False) -> Iterator[list[bytes]]:
         """The ids of each text, little-endian uint32, one entry for each chunk between blanks.
