@@ -61,7 +61,7 @@ def buckets(docs: DataFrame) -> DataFrame:
     return staged(first.where("ordinal > 0").select("digest", "canonical", "ordinal"), "collisions")
 
 
-def fingerprints(docs: DataFrame, per_range: int = 2000) -> DataFrame:
+def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, a row per document.
 
     Texts are whole; null counts as empty.  A text is edited by the document next in descending doc_id (after the last
@@ -79,7 +79,8 @@ def fingerprints(docs: DataFrame, per_range: int = 2000) -> DataFrame:
     unlike = {(r[0], r[1]): r[2] for r in clashes.limit(1000).collect()}  # texts that share 128 bits: none in practice
     if len(unlike) >= 1000:
         raise RuntimeError("over a thousand unlike texts share 128-bit digests")
-    k = max(1, min(n // 8, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // per_range)))
+    # ranges are streamed, so their number follows the shuffle partitions and not the rows
+    k = max(1, min(n // 8, ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     ids = d.where("doc_id is not null").agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 10_000) if k > 1 else F.array(), F.max("doc_id")).first()
     # ascending bounds, each the greatest doc_id of its range; the last range of the descending order is number 0
     bounds = np.array(sorted({*(ids[0] or []), *([ids[1]] if ids[1] is not None else [])}), dtype=np.int64)

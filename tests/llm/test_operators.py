@@ -305,7 +305,7 @@ def test_warc(spark, nothing):
 def test_fingerprints(spark, nothing):
     random.seed(9)
     texts = ODD + ["Same  TEXT here", "same text\nhere", "ｓａｍｅ text here"] + ["".join(random.choices("ab é", k=random.randint(0, 50))) for _ in range(60)]
-    rows = sorted(digest.fingerprints(docs_of(spark, texts), per_range=7).collect(), key=lambda r: -r["doc_id"])
+    rows = sorted(digest.fingerprints(docs_of(spark, texts), ranges=11).collect(), key=lambda r: -r["doc_id"])
     t = [x or "" for x in reversed(texts)]
     assert len(rows) == len(texts)
     for k, r in enumerate(rows):
