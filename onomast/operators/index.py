@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from onomast.functions import sound, spelling
 from onomast.functions.text import bigrams, comparable_latin, latin_skeleton, normalized, script
+from onomast.sources.cache import cached_variants
 
 #: Names that one brand may have: entry_ord is brand_ord * NAMES + the name's place.
 NAMES = 1 << 12
 SKELETON_LEAST = 3
 
 
-def entries(brands: DataFrame, rules: str = "{}", across: bool = True) -> DataFrame:
+def entries(brands: DataFrame, rules: str = "{}", across: bool = True, cache: str | None = None) -> DataFrame:
     """One row per distinct (code, normal form); the first occurrence wins.
 
     ``brands``: brand_ord, code, label and, if there are any, translations.  ``entry_ord`` follows the catalogue, label
-    before translations.  With ``across`` entries carry romanizations and sound keys for comparison across scripts.
+    before translations.  With ``across`` entries carry romanizations and sound keys for comparison across scripts; romanizations of Hebrew names come from the folder ``cache`` if there is one.
     """
     names = F.array(F.col("label"))
     if "translations" in brands.columns:
@@ -29,7 +30,11 @@ def entries(brands: DataFrame, rules: str = "{}", across: bool = True) -> DataFr
     e = e.select("entry_ord", "code", "x.label", "x.name", "normalized", "x.compact").withColumn("script", script(F.col("name")))
     if not across:
         return e
-    e = spelling.with_variants(e, "name", rules, spelling.INDEX_BUDGET, spelling.INDEX_MAX_COST)
+    made = lambda d: spelling.with_variants(d, "name", rules, spelling.INDEX_BUDGET, spelling.INDEX_MAX_COST)
+    if cache is None:
+        return sound.with_keys(made(e), "normalized")
+    known = cached_variants(e, rules, cache)
+    e = made(e.join(known, "name", "left_anti")).unionByName(e.join(known, "name"))
     return sound.with_keys(e, "normalized")
 
 

@@ -23,9 +23,9 @@ class Catalogue:
     across: bool = True
 
     @classmethod
-    def of(cls, brands: DataFrame, rules: str = "{}", across: bool = True, keep: bool = False) -> Catalogue:
-        """From brands (brand_ord, code, label[, translations]); ``keep`` persists it for repeated use."""
-        e = index.entries(brands, rules, across)
+    def of(cls, brands: DataFrame, rules: str = "{}", across: bool = True, keep: bool = False, cache: str | None = None) -> Catalogue:
+        """From brands (brand_ord, code, label[, translations]); ``keep`` persists it for repeated use, ``cache`` is a folder of spellings."""
+        e = index.entries(brands, rules, across, cache)
         e = e.persist() if keep else e
         p = index.postings(e)
         return cls(e, p.persist() if keep else p, rules, across)

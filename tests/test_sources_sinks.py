@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from onomast.operators import exports
 from onomast.plans import samples
 from onomast.plans.check import Catalogue, check
-from onomast.sources import catalogue, names, sinks
+from onomast.sources import cache, catalogue, names, sinks
 from onomast.streaming.stream import screen
 
 AT = dt.datetime(2024, 5, 6, 7, 8)
@@ -97,13 +97,19 @@ def test_review_and_exports(spark, checked, tmp_path, monkeypatch):
 
 def test_cache(spark, tmp_path):
     n = lambda *x: spark.createDataFrame([(v,) for v in x], "name string")
-    first = sinks.cached_variants(n("ולורה", "Velora", "נימרה"), "{}", str(tmp_path))
+    first = cache.cached_variants(n("ולורה", "Velora", "נימרה"), "{}", str(tmp_path))
     assert {r["name"] for r in first.collect()} == {"ולורה", "נימרה"}
     manifest = json.loads((tmp_path / "manifest.json").read_text())
-    assert sinks.cached_variants(n("ולורה", "נימרה"), "{}", str(tmp_path)).inputFiles() == first.inputFiles()
-    assert {r["name"] for r in sinks.cached_variants(n("ולורה", "גלורה"), "{}", str(tmp_path)).collect()} == {"ולורה", "גלורה"}
+    assert cache.cached_variants(n("ולורה", "נימרה"), "{}", str(tmp_path)).inputFiles() == first.inputFiles()
+    assert {r["name"] for r in cache.cached_variants(n("ולורה", "גלורה"), "{}", str(tmp_path)).collect()} == {"ולורה", "גלורה"}
     (tmp_path / "manifest.json").write_text(json.dumps(manifest | {"checksum": "forged"}))
-    assert {r["name"] for r in sinks.cached_variants(n("נימרה"), "{}", str(tmp_path)).collect()} == {"נימרה"}
+    assert {r["name"] for r in cache.cached_variants(n("נימרה"), "{}", str(tmp_path)).collect()} == {"נימרה"}
+
+
+def test_catalogue_from_cache(spark, tmp_path):
+    brands = spark.sql(samples.BRANDS)
+    rows = [sorted((r["code"], str(r["variants"])) for r in Catalogue.of(brands, samples.RULES, cache=c).entries.collect()) for c in (None, str(tmp_path), str(tmp_path))]
+    assert rows[0] == rows[1] == rows[2]
 
 
 def test_stream(spark, tmp_path):
