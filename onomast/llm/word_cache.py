@@ -10,7 +10,9 @@ control characters that libraries class differently) is encoded by the library a
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import compress, repeat
 from operator import is_
@@ -18,7 +20,7 @@ from operator import is_
 import numpy as np
 
 #: Chunks of a worker's table; it is emptied when it is full, so memory is bounded.
-MAX_CHUNKS = 500_000
+MAX_CHUNKS = 600_000
 #: Characters of the texts that are encoded together.
 BLOCK_CHARS = 1_000_000
 #: A run of these after an ASCII letter is a pre-token of its own in both vocabularies.
@@ -27,6 +29,11 @@ _ENDS = frozenset(_TAIL)
 _ODD_CONTROLS = frozenset("\x1c\x1d\x1e\x1f\x85")
 
 
+#: The printable letters by which byte-level vocabularies write bytes: printable Latin-1 as it is, the others from U+0100.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
 class CachedEncoder:
     """``ids(text)`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids`` (special strings are text)."""
 
@@ -36,6 +43,12 @@ class CachedEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self._model, self._line = self.tokenizer.model, self._whole("\n")
+        rules = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
+        bytewise = rules["pre_tokenizer"]["type"] == "ByteLevel" and not rules["pre_tokenizer"]["add_prefix_space"]
+        #: How a run of letters reaches the model: as it is, in lower case, or (empty) unknown here.
+        self._kind = "plain" if bytewise and not rules["normalizer"] else "lower" if steps == ["NFC", "Replace", "Lowercase"] and rules["pre_tokenizer"]["type"] == "Sequence" else ""
         self._table: dict[str, bytes] = {}  # chunk after a blank -> ids, little-endian uint32
         self._words: dict[str, bytes] = {}  # the same with the lead character in the key: " a", "a", "\na"
 
@@ -62,11 +75,19 @@ class CachedEncoder:
         return out
 
     def _learn(self, words: list[str]) -> None:
-        known = self._words
+        known, rest = self._words, words
         if len(known) > MAX_CHUNKS:
             known.clear()
-        for at in range(0, len(words), 1000):
-            part = words[at : at + 1000]
+        if self._kind:
+            rest = []
+            for w in words:
+                code = self._single(w)
+                if code is None:
+                    rest.append(w)
+                else:
+                    known[w] = code
+        for at in range(0, len(rest), 1000):
+            part = rest[at : at + 1000]
             code = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             ids = np.asarray(code.ids, dtype="<u4").tobytes()
             ends = np.cumsum(np.bincount(np.asarray(code.word_ids, dtype=np.int64), minlength=len(part)) * 4).tolist()
@@ -75,6 +96,26 @@ class CachedEncoder:
                 known[x] = ids[a:b]
                 a = b
 
+    def _single(self, word: str) -> bytes | None:
+        """The ids of a word that is one pre-token, straight from the library's model; None for any other.
+
+        A run of Latin-1 letters is one pre-token in both vocabularies, is in NFC and has a plain lower case.
+        """
+        lead = word[0] if word[0] in " \n" else ""
+        core = word[len(lead) :]
+        if not core.isalpha():
+            return None
+        if not core.isascii():
+            if max(core) > "\xff":
+                return None
+            core = (core.lower() if self._kind == "lower" else core).encode().decode("latin-1").translate(_BYTE_LETTERS)
+        elif self._kind == "lower":
+            core = core.lower()
+        if self._kind == "lower":
+            return array("I", [t.id for t in self._model.tokenize(core)]).tobytes()
+        ids = array("I", [t.id for t in self._model.tokenize("Ġ" + core if lead == " " else core)]).tobytes()
+        return self._line + ids if lead == "\n" else ids
+
     def _block(self, texts: list[str], spaced: bool) -> Iterator[list[bytes] | None]:
         table, known = self._table, self._words
         if len(table) > MAX_CHUNKS:
