@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from onomast.llm.base import components, groups, join_values, prepare, staged, tasks
 
 HASHES, BITS = 256, 4
+#: Hashes of the signatures that the second pass compares: few pairs short of the threshold pass its estimate.
+FINE = 2048
 #: A pair at similarity 0.85 shares no band with a chance of 8e-7, one at 0.8 with 1.5e-4.
 BANDS, BAND_ROWS = 36, 7
 #: Standard deviations by which an estimate may fall short of the threshold before its pair is dropped.
@@ -38,10 +40,10 @@ def least_estimate(threshold: float, hashes: int = HASHES, bits: int = BITS) ->
     return threshold - SLACK * (p * (1 - p) / hashes) ** 0.5 / (1 - c)
 
 
-@lru_cache(1)
-def _family() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20_240_607)
-    return rng.integers(0, 2**32, (HASHES, 1), dtype=np.uint32), rng.integers(0, 2**32, (HASHES, 1), dtype=np.uint32) | np.uint32(1)
+@lru_cache(2)
+def _family(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20_240_607 + hashes)
+    return rng.integers(0, 2**32, (hashes, 1), dtype=np.uint32), rng.integers(0, 2**32, (hashes, 1), dtype=np.uint32) | np.uint32(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -86,13 +88,14 @@ class Shingler:
         return self.of(self.hashes(self.tokens(text)))
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The least value of each of HASHES functions over a set."""
-    flip, factor = _family()
+def minima(shingles: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """The least value of each of ``hashes`` functions over a set."""
+    flip, factor = _family(hashes)
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(HASHES, 2**32 - 1, dtype=np.uint32)
-    for at in range(0, len(x), 512):
-        np.minimum(least, ((x[at : at + 512] ^ flip) * factor).min(axis=1), out=least)
+    least = np.full(hashes, 2**32 - 1, dtype=np.uint32)
+    step = max(32, 131_072 // hashes)
+    for at in range(0, len(x), step):
+        np.minimum(least, ((x[at : at + step] ^ flip) * factor).min(axis=1), out=least)
     return least
 
 
@@ -109,7 +112,7 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x |= x >> np.uint64(1)
     unequal = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=-1, dtype=np.int64)
     c = 2.0**-BITS
-    return ((1 - unequal / HASHES) - c) / (1 - c)
+    return ((1 - unequal / (16 * a.shape[-1])) - c) / (1 - c)
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -154,6 +157,17 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return texts.join(ids, "rep", "left_semi").mapInArrow(run, "rep long, set binary")
 
 
+def fine_signatures(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(rep, sig) of the documents named in ``ids``, of FINE hashes; ids are broadcast as in :func:`shingle_sets`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = [pack_bits(minima(np.frombuffer(x, np.uint64), FINE)) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.list_(pa.int64()))], names=["rep", "sig"])
+
+    return shingle_sets(docs, ids, words).mapInArrow(run, "rep long, sig array<long>")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
 
@@ -269,8 +283,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     at = shared.select("band", "rep", "size").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     at = staged(at, "at")
     mixed = staged(at.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 < c1").select("band", "n"), "mixed")
-    at = join_values(at, mixed, "band", "n").join(short, "rep")
-    pairs = staged(cross_pairs(at, least).join(star, ["a", "b"], "left_anti"), "cross")
+    at = staged(join_values(at, mixed, "band", "n"), "mixed")
+    fine = staged(fine_signatures(docs, staged(at.select("rep").distinct(), "ids"), words), "fine")
+    pairs = staged(cross_pairs(at.join(fine, "rep"), least_estimate(percent / 100, FINE)).join(star, ["a", "b"], "left_anti"), "cross")
     second = staged(confirm(pairs, docs, words, percent), "links")
     if not second.isEmpty():
         comp = staged(components(first.union(second)), "components")
