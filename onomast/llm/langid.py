@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from onomast.llm.base import prepare
+from onomast.llm.word_cache import release
 
 #: Documents of each language that the machines are fitted on, about: they are chosen by a hash of doc_id.
 SAMPLE_PER_LANGUAGE = 600
@@ -199,6 +200,7 @@ def tag(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "lang" else f for f in docs.schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             lang = np.full(len(texts), "und", dtype=object)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from onomast.llm.base import components, groups, join_values, prepare, staged, tasks
+from onomast.llm.word_cache import release
 
 HASHES, BITS = 256, 4
 #: Hashes of the signatures that the second pass compares: few pairs short of the threshold pass its estimate.
@@ -65,7 +66,7 @@ class Shingler:
 
     def hashes(self, tokens: list[bytes]) -> np.ndarray:
         kept = self._kept
-        if len(kept) > 400_000:
+        if len(kept) > 250_000:
             kept.clear()
         got = list(map(kept.get, tokens))
         if None in got:
@@ -120,6 +121,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         shingler = Shingler(words)
         for batch in batches:
             n, cls, sig, bands = [], [], [], []

@@ -189,3 +189,8 @@ def encoder(path: str) -> CachedEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = CachedEncoder(path)
     return _ENCODERS[path]
+
+
+def release() -> None:
+    """Empties this worker's tables; other operators call it, as workers are reused."""
+    _ENCODERS.clear()
