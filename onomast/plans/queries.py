@@ -175,10 +175,19 @@ def check_names_calibrated(spark, folder):
     return _decided(spark, folder, CALIBRATED).select("query_id", "decision", F.round("confidence", 6).alias("confidence"))
 
 
+def _words(spark, folder) -> DataFrame:
+    """query_id, raw: the distinct words (runs of letters of any script, in lower case) of all whole texts, numbered in order."""
+    words = _table(spark, folder, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}[\p{L}\p{M}]*"), F.lit(0))).alias("raw"))
+    words = words.select(F.lower("raw").alias("raw")).distinct().withColumn("start", F.substring("raw", 1, 3))
+    # words grow with the texts, their starts do not: only the starts are counted in one task
+    starts = words.groupBy("start").agg(F.count("*").alias("n"))
+    starts = starts.select("start", (F.sum("n").over(Window.orderBy("start")) - F.col("n")).alias("before"))
+    number = F.col("before") + F.row_number().over(Window.partitionBy("start").orderBy("raw"))
+    return words.join(starts, "start").select(number.cast("long").alias("query_id"), "raw")
+
+
 def check_names_docs(spark, folder):
-    words = _table(spark, folder, "documents").select(F.lower(F.regexp_extract("text", r"[A-Za-z]+", 0)).alias("raw")).where("raw <> ''").distinct()
-    words = words.withColumn("query_id", F.row_number().over(Window.orderBy("raw")).cast("long"))
-    r = check(words, _catalogue(spark, folder))
+    r = check(_words(spark, folder), _catalogue(spark, folder))
     return r.select("query_id", "input", "decision", F.round("confidence", 6).alias("confidence"), F.coalesce(F.get("candidates", F.lit(0))["code"], F.lit("")).alias("best"))
 
 
