@@ -64,7 +64,7 @@ def normalize_names(spark, folder):
 
 
 def detect_script(spark, folder):
-    raw = _values(spark, samples.SCRIPTS).union(_table(spark, folder, "documents").select(F.substring("text", 1, 60)))
+    raw = _values(spark, samples.SCRIPTS).union(_table(spark, folder, "documents").select("text"))
     return raw.distinct().select("raw", text.script(F.col("raw")).alias("script"))
 
 

@@ -49,3 +49,13 @@ def test_every_word_is_screened(spark, folder):
     want = con.sql(oracles._with(oracles._decisions("SELECT query_id, raw FROM words"), "SELECT dec.query_id, decision, round(confidence, 6), coalesce(code, '') FROM dec LEFT JOIN top5 ON top5.query_id = dec.query_id AND top5.rank = 1")).fetchall()
     assert [(r[0], *r[2:]) for r in got] == [(*r[:2], pytest.approx(r[2]), r[3]) for r in sorted(want)]
     assert next(r for r in got if r["input"] == "rose")["decision"] == "BLOCK"
+
+
+def test_script_is_that_of_the_whole_text(spark, folder):
+    got = {r["raw"]: r["script"] for r in QUERIES["detect_script"](spark, folder).collect()}
+    assert set(TEXTS) <= set(got)
+    assert got[LONG + "anvil ולורה"] == "MIXED" and got[LONG + "Plain end"] == "LATIN" and got["12 %"] == "NUMERIC_OR_SYMBOL"
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (raw VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?)", [[t] for t in dict.fromkeys(TEXTS)])
+    assert dict(con.sql(f"SELECT raw, {oracles._SCRIPT} FROM t").fetchall()).items() <= got.items()
