@@ -59,7 +59,7 @@ def normalize_names(spark, folder):
     for t, c in (("part", "p_name"), ("supplier", "s_name"), ("customer", "c_name")):
         d = _table(spark, folder, t).select(F.col(c).alias("raw"))
         raw = d if raw is None else raw.union(d)
-    raw = raw.union(_table(spark, folder, "documents").select(F.substring("text", 1, 40))).distinct()
+    raw = raw.union(_table(spark, folder, "documents").select("text")).distinct()
     return text.normalized(raw, "raw").select("raw", "normalized", "compact")
 
 

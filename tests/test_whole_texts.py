@@ -7,6 +7,7 @@ import unicodedata
 import duckdb
 import pytest
 
+from onomast.functions import text
 from onomast.plans import oracles
 from onomast.plans.queries import QUERIES
 
@@ -25,10 +26,10 @@ def folder(spark, tmp_path_factory):
     return path
 
 
-def words_of(text):
+def words_of(whole):
     """Runs of letters, with the marks that follow a letter."""
     out, run = [], ""
-    for c in text or "":
+    for c in whole or "":
         kind = unicodedata.category(c)[0]
         if kind == "L" or (kind == "M" and run):
             run += c
@@ -59,3 +60,10 @@ def test_script_is_that_of_the_whole_text(spark, folder):
     con.execute("CREATE TABLE t (raw VARCHAR)")
     con.executemany("INSERT INTO t VALUES (?)", [[t] for t in dict.fromkeys(TEXTS)])
     assert dict(con.sql(f"SELECT raw, {oracles._SCRIPT} FROM t").fetchall()).items() <= got.items()
+
+
+def test_whole_texts_are_normalized(spark, folder):
+    got = {r["raw"]: (r["normalized"], r["compact"]) for r in QUERIES["normalize_names"](spark, folder).collect()}
+    assert set(got) == {*TEXTS, *NAMES, "Supplier 1", "Customer 1"}
+    assert all(got[t] == (text.normalize(t), text.normalize(t).replace(" ", "")) for t in TEXTS)
+    assert got[LONG + "Plain end"][0].endswith("amet plain end") and got[TEXTS[6]][0].startswith("café café")
