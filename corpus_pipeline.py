@@ -14,8 +14,9 @@ from onomast.llm.queries import _tokenizer
 
 
 def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids``."""
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` whose doc_id is in ``ids``, and those without a doc_id, which link with nothing."""
+    known = docs.where("doc_id is not null").join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return known.unionByName(docs.where("doc_id is null"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

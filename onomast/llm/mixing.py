@@ -123,12 +123,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float = SH
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mixture as documents: a row for each time a document is taken, cut where it is taken in part.
 
-    ``doc_id`` must be unique in ``docs``.  Documents that are not taken go; columns stay.
+    Documents that are not taken go; columns stay.  Null doc_ids are equal here.  Rows that agree in doc_id, source and
+    size share the takes that ``mixed`` lists for them, the earliest going to the rows of the least digest.
     """
-    take = mixed.where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    d = docs.join(take, docs["doc_id"] == F.col("_id"))
+    same = ["doc_id", "source", "_size"]
+    take = F.struct("first_position", (-F.col("taken")).alias("less"), "last_position")
+    takes = mixed.where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words")).agg(F.array_sort(F.collect_list(take)).alias("_takes"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.withColumn("_size", size).where("_size > 0").withColumn("_row", F.sha2(F.to_json(F.struct(*docs.columns)).cast("binary"), 256))
+    # only digests are grouped and numbered; a text moves once, whatever the number of its copies
+    lean = rows.groupBy(*same, "_row").agg(F.count("*").cast("int").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*same).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1))
+    lean = lean.withColumn("_before", F.coalesce(before, F.lit(0)).cast("int"))
+    lean = lean.join(takes, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words")))
+    lean = lean.select("_row", "_size", F.explode(F.slice("_takes", F.col("_before") + 1, F.col("_n"))).alias("_take")).withColumn("_taken", -F.col("_take.less"))
     parts = F.expr("transform(sequence(1, cast(ceil(_taken / _size) as int)), k -> least(_size, _taken - (k - 1) * _size))")
-    d = d.withColumn("_part", F.explode(parts))
+    lean = lean.select("_row", "_size", F.explode(parts).alias("_part"))
+    d = rows.drop("_size").dropDuplicates(["_row"]).join(lean, "_row")
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     text = F.when(F.col("_part") == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("_part").cast("int")), " "))
     return d.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
