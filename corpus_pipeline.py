@@ -7,6 +7,7 @@ documents.  All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from onomast.llm import langid, minhash, mixing, packing, quality
 from onomast.llm.base import prepare, scratch
@@ -33,9 +34,14 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest doc_id (five words, similarity 0.8)."""
+    """One document of each group stays: that with the smallest doc_id (five words, similarity 0.8).
+
+    Rows that agree in doc_id and text, nulls included, stay once, with the least of their other columns.
+    """
     found = minhash.near_duplicates(docs, words=5, percent=80)
-    return _keep(docs, found.where("kept"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = _keep(docs, found.where("kept")).groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest"))
+    return once.select("doc_id", "text", "_rest.*").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,7 +72,7 @@ def test_rows_without_doc_id(spark, stage):
         assert held == Counter({t: n for t, n in none.items() if t})
     if stage == "near_duplicates":
         keep = brute_kept(rows)
-        assert held == none and got == Counter(r for r in rows if r[0] is None or r[0] in keep)
+        assert set(held) == set(none) and got == Counter({r for r in rows if r[0] is None or r[0] in keep})
     if stage == "mixture":
         taken = mixing.mix(docs).where("doc_id is null").agg(F.sum("taken")).first()[0]
         assert taken > 0 and sum(len(t.split()) * n for t, n in held.items()) == taken
@@ -85,3 +85,32 @@ def test_quality_keeps_rows_without_doc_id(spark):
     got = of(corpus_pipeline.good(spark, docs.unionByName(extra), folder))
     want = {(r["doc_id"], r["text"]) for r in docs.where("doc_id % 3 = 0").collect()}
     assert {t for i, t in got if i is None} == {t for i, t in want if (i, t) in got}
+
+
+def test_repeated_rows(spark):
+    rows = rows_of()
+    many = rows * 3 + [(0, rows[0][1])] * 40 + [(None, rows[0][1])] * 40
+    docs = frame(spark, many)
+    keep = brute_kept(rows)
+    assert of(corpus_pipeline.near_duplicates(spark, docs, "")) == Counter({r for r in rows if r[0] is None or r[0] in keep})
+    # the mix takes of each doc_id, source and size the words that it decided, each time a whole row or a part of one
+    decided = mixing.mix(docs)
+    want = Counter()
+    for r in decided.where("taken > 0").collect():
+        want[r["doc_id"], r["source"]] += r["taken"]
+    got, parts = Counter(), 0
+    known = {(i, t) for i, t in rows}
+    for r in mixing.apply_mix(docs, decided).collect():
+        got[r["doc_id"], r["source"]] += len(r["text"].split())
+        parts += (r["doc_id"], r["text"]) not in known
+    assert got == want and parts <= 2 * 3  # a source's target ends on one document
+
+
+def test_repeated_rows_are_taken_like_a_queue(spark):
+    """Copies, and different texts of one doc_id and size, are taken row by row: n rows are not n x n."""
+    rows = [(7, "a b c d")] * 5 + [(7, "e f g h")] * 5 + [(8, "i j")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    decided = mixing.mix(docs).collect()
+    got = of(mixing.apply_mix(docs, mixing.mix(docs)))
+    assert sum(n * len(t.split()) for (i, t), n in got.items()) == sum(r["taken"] for r in decided) == 63
+    assert got[7, "a b c d"] + got[7, "e f g h"] == sum(-(-r["taken"] // 4) for r in decided if r["doc_id"] == 7 and r["taken"] % 4 == 0) + sum(r["taken"] // 4 for r in decided if r["doc_id"] == 7 and r["taken"] % 4)
