@@ -124,7 +124,8 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mixture as documents: a row for each time a document is taken, cut where it is taken in part.
 
     Documents that are not taken go; columns stay.  Null doc_ids are equal here.  Rows that agree in doc_id, source and
-    size share the takes that ``mixed`` lists for them, the earliest going to the rows of the least digest.
+    size share the takes that ``mixed`` lists for them, the earliest going to the rows of the least digest.  Rows come
+    range-sorted by the position of their take: a document's first at first_position, its second at last_position.
     """
     same = ["doc_id", "source", "_size"]
     take = F.struct("first_position", (-F.col("taken")).alias("less"), "last_position")
@@ -137,9 +138,9 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     lean = lean.withColumn("_before", F.coalesce(before, F.lit(0)).cast("int"))
     lean = lean.join(takes, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words")))
     lean = lean.select("_row", "_size", F.explode(F.slice("_takes", F.col("_before") + 1, F.col("_n"))).alias("_take")).withColumn("_taken", -F.col("_take.less"))
-    parts = F.expr("transform(sequence(1, cast(ceil(_taken / _size) as int)), k -> least(_size, _taken - (k - 1) * _size))")
-    lean = lean.select("_row", "_size", F.explode(parts).alias("_part"))
+    parts = F.expr("transform(sequence(1, cast(ceil(_taken / _size) as int)), k -> struct(least(_size, _taken - (k - 1) * _size) as part, if(k = 1, _take.first_position, _take.last_position) as at))")
+    lean = lean.select("_row", "_size", F.explode(parts).alias("_p")).select("_row", "_size", F.col("_p.part").alias("_part"), F.col("_p.at").alias("_at"))
     d = rows.drop("_size").dropDuplicates(["_row"]).join(lean, "_row")
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     text = F.when(F.col("_part") == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("_part").cast("int")), " "))
-    return d.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return d.orderBy("_at", "_row").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

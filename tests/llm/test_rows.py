@@ -114,3 +114,15 @@ def test_repeated_rows_are_taken_like_a_queue(spark):
     got = of(mixing.apply_mix(docs, mixing.mix(docs)))
     assert sum(n * len(t.split()) for (i, t), n in got.items()) == sum(r["taken"] for r in decided) == 63
     assert got[7, "a b c d"] + got[7, "e f g h"] == sum(-(-r["taken"] // 4) for r in decided if r["doc_id"] == 7 and r["taken"] % 4 == 0) + sum(r["taken"] // 4 for r in decided if r["doc_id"] == 7 and r["taken"] % 4)
+
+
+def test_mixture_comes_in_order_of_position(spark):
+    docs = frame(spark, [(i, t) for i, t in rows_of() if i is not None])
+    decided = mixing.mix(docs).where("taken > 0").collect()
+    want = [(r["first_position"], r["doc_id"]) for r in decided] + [(r["last_position"], r["doc_id"]) for r in decided if r["taken"] > r["size"]]
+    got = [r["doc_id"] for r in mixing.apply_mix(docs, mixing.mix(docs)).collect()]
+    at = {}
+    for p, i in sorted(want):
+        at.setdefault(i, []).append(p)
+    places = [at[i].pop(0) for i in got]
+    assert places == sorted(p for p, _ in want) and len(set(places)) > 20
