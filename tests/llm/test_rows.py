@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from onomast.llm import mixing
+from onomast.llm import minhash, mixing
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 random.seed(11)
@@ -126,3 +126,11 @@ def test_mixture_comes_in_order_of_position(spark):
         at.setdefault(i, []).append(p)
     places = [at[i].pop(0) for i in got]
     assert places == sorted(p for p, _ in want) and len(set(places)) > 20
+
+
+def test_components_at_the_pipelines_setting(spark):
+    rows = [r for r in rows_of() if r[0] is not None] * 2
+    got = minhash.near_duplicates(frame(spark, rows), words=5, percent=80).collect()
+    keep = brute_kept(rows)
+    assert len(got) == len(rows) and {r["doc_id"] for r in got if r["kept"]} == keep
+    assert 5 < len({i for i, _ in rows} - keep) and any(100 <= i < 200 for i in {i for i, _ in rows} - keep) and any(100 <= i < 200 for i in keep)
