@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a batch that goes to Python; texts may be long, so batches are short.
 BATCH_ROWS = 512
-#: At most so many keys can each hold more than a 1/HEAVY_KEYS share of the rows: the bound of a broadcast.
+#: Keys that hold more than a 1/HEAVY_KEYS share of the rows count as heavy, so there are at most so many ...
 HEAVY_KEYS = 1000
+#: ... and, of larger inputs, keys with more rows than one task should join; MOST_HEAVY bounds their number and broadcast.
+TASK_ROWS, MOST_HEAVY = 100_000, 100_000
 _SHIPPED: set[str] = set()
 _MADE: list[str] = []
 
 
 def prepare(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application and bounds the batches for Python."""
+    """Sends this package to the executors once per application."""
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(__file__).resolve().parents[1]
@@ -33,16 +35,34 @@ def prepare(spark: SparkSession) -> None:
                 z.write(p, str(p.relative_to(root.parent)))
         spark.sparkContext.addPyFile(to)
         _SHIPPED.add(app)
+
+
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` and short batches for Python, so that the caller's stays as it is."""
+    prepare(spark)
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    short_batches(own)
+    return own
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bounds the rows of a batch that goes to Python, in this session from now on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir; one of our own only where it is unset and all tasks run in the driver."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = getattr(spark.sparkContext, "_onomast_dir", None)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that they share")
+        base = getattr(context, "_onomast_dir", None)
         if not base:
-            base = spark.sparkContext._onomast_dir = tempfile.mkdtemp(prefix="onomast")
+            base = context._onomast_dir = tempfile.mkdtemp(prefix="onomast")
     return base.rstrip("/")
 
 
@@ -87,13 +107,14 @@ def join_values(rows: DataFrame, values: DataFrame, key: str, count: str, how: s
     """Joins rows with one value row per key, where a key may hold a third of all rows.
 
     ``values`` is the staged outcome of an aggregation by ``key`` over those rows, with their number in ``count``.
-    Keys with over 1/HEAVY_KEYS of the rows are at most HEAVY_KEYS many, so they are broadcast; all other
-    keys are small and meet in a shuffle.  ``count`` is dropped.  A null key finds no value.
+    Heavy keys are at most MOST_HEAVY many, so they are broadcast; a key that is not heavy has at most TASK_ROWS rows
+    (or, beyond TASK_ROWS * MOST_HEAVY rows in all, the same share of them), and these meet in a shuffle.  ``count`` is
+    dropped.  A null key finds no value.
     """
     total = values.agg(F.sum(count)).first()[0] or 0
-    least = max(64, total // HEAVY_KEYS)
+    least = max(64, total // MOST_HEAVY, min(total // HEAVY_KEYS, TASK_ROWS))
     heavy = values.where(F.col(count) > least)
-    keys = [r[0] for r in heavy.select(key).limit(HEAVY_KEYS + 1).collect()]
+    keys = [r[0] for r in heavy.select(key).limit(21).collect()]
     light = values.where(F.col(count) <= least).drop(count)
     if not keys:
         return rows.join(light, key, how)
@@ -135,12 +156,40 @@ def groups(batches, keys: list[str]):
         yield pa.Table.from_batches(held)
 
 
+class Forest:
+    """A spanning forest of the links that a task sees: links inside a tree say nothing new about components."""
+
+    #: Nodes that are remembered; beyond them the forest starts anew, which lets more links through and loses none.
+    MOST = 1_000_000
+
+    def __init__(self):
+        self._root: dict[int, int] = {}
+
+    def _find(self, x: int) -> int:
+        root, top = self._root, x
+        while (up := root.get(top, top)) != top:
+            top = up
+        while x != top:
+            root[x], x = top, root.get(x, x)
+        return top
+
+    def joins(self, a: int, b: int) -> bool:
+        """Whether a link joins two trees; from now on they are one."""
+        if len(self._root) > self.MOST:
+            self._root.clear()
+        a, b = self._find(a), self._find(b)
+        if a == b:
+            return False
+        self._root[max(a, b)] = min(a, b)
+        return True
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of an edge list; the component is its smallest node.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014) on staged tables: each is one
     pre-aggregated minimum per node and one join back that withstands hubs; rounds grow with the
-    logarithm of the nodes.  Nothing is gathered on the driver but counts and at most HEAVY_KEYS hubs.
+    logarithm of the nodes.  Nothing is gathered on the driver but counts and a few hubs.
     """
     e = staged(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     nodes = staged(e.select(F.col("u").alias("node")).union(e.select("v")).distinct(), "nodes")

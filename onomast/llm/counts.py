@@ -1,13 +1,13 @@
 """Edit-aware token counts (operator 4).
 
-A document is cut at blanks that no pre-token crosses into runs of chunks, the leaves of a segment tree that holds
-characters and tokens of each subtree.  An edit re-encodes the leaves that it touches and one leaf of context on
-either side, and updates the sums above them.
+A document's units (runs of pre-tokens between the blanks at which texts may be cut, see ``word_cache``) are gathered
+into leaves of a segment tree that holds characters and tokens of each subtree.  A cut depends on its blank and the
+character after it alone.  So an edit re-encodes the leaves that it touches, and the leaf before them if the first
+leaf's cut is touched; their new text is cut into leaves again, and the sums above them are updated.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,35 +18,43 @@ from pyspark.sql import functions as F
 from onomast.llm.base import prepare
 from onomast.llm.word_cache import CachedEncoder, encoder
 
-CHUNKS_PER_LEAF = 32
-_LONE = re.compile(r"(?<=\S) (?=\S)")
+UNITS_PER_LEAF = 32
 
 
 class CountTree:
-    """Token counts of one text under edits; ``tokens`` and ``chars`` are the root's sums."""
+    """Token counts of one text under edits; ``tokens`` and ``chars`` are the root's sums.
 
-    def __init__(self, text: str, code: CachedEncoder, parts: list[bytes] | None = None):
+    A text that the encoder must not cut (it may hold a special string) is one leaf.
+    """
+
+    def __init__(self, text: str, code: CachedEncoder):
         self.code = code
-        parts = next(code.parts([text])) if parts is None else parts
-        chunks = text.split(" ")
-        if len(parts) == len(chunks):
-            counts = np.array([len(p) // 4 for p in parts], dtype=np.int64)
-            starts = list(range(0, len(chunks), CHUNKS_PER_LEAF))
-            self.leaves = [(" " if k else "") + " ".join(chunks[k : k + CHUNKS_PER_LEAF]) for k in starts]
-            tokens = np.add.reduceat(counts, starts)
-        else:  # irregular white space: cut at lone blanks between words only
-            cuts = [0, *[m.start() for m in _LONE.finditer(text)][CHUNKS_PER_LEAF - 1 :: CHUNKS_PER_LEAF], len(text)]
-            self.leaves = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-            coded = [*code.parts(self.leaves[:1]), *code.parts(self.leaves[1:], spaced=True)]
-            tokens = [sum(len(p) // 4 for p in x) for x in coded]
-        self.width = 1 << max(0, len(self.leaves) - 1).bit_length()
+        self._build(*self._cut(text, True))
+
+    def _cut(self, text: str, first: bool) -> tuple[list[str], list[tuple[int, int]]]:
+        """The leaves of consecutive text, each with its characters and tokens; ``first`` if the text starts with it."""
+        if self.code.uncut(text):
+            return [text], [(len(text), len(self.code.ids(text)))]
+        units = self.code.units(text if first else text[1:])
+        tokens = [len(x) >> 2 for x in self.code.unit_ids(units, first)]
+        leaves, sums = [], []
+        for k in range(0, len(units), UNITS_PER_LEAF):
+            leaf = " ".join(units[k : k + UNITS_PER_LEAF])
+            if k or not first:
+                leaf = " " + leaf
+            leaves.append(leaf)
+            sums.append((len(leaf), sum(tokens[k : k + UNITS_PER_LEAF])))
+        return leaves, sums
+
+    def _build(self, leaves: list[str], sums: list) -> None:
+        self.leaves = leaves
+        self.width = 1 << (len(leaves) - 1).bit_length()
         self.sums = np.zeros((2 * self.width, 2), dtype=np.int64)
-        leaf = self.sums[self.width : self.width + len(self.leaves)]
-        leaf[:, 0] = [len(x) for x in self.leaves]
-        leaf[:, 1] = tokens
-        for k in range(self.width.bit_length() - 2, -1, -1):
-            level = self.sums[2 << k : 4 << k]
-            self.sums[1 << k : 2 << k] = level[0::2] + level[1::2]
+        self.sums[self.width : self.width + len(leaves)] = sums
+        level = self.width
+        while level > 1:
+            self.sums[level // 2 : level] = self.sums[level : 2 * level : 2] + self.sums[level + 1 : 2 * level : 2]
+            level //= 2
 
     @property
     def chars(self) -> int:
@@ -57,62 +65,50 @@ class CountTree:
         return int(self.sums[1, 1])
 
     def _leaf_at(self, place: int) -> tuple[int, int]:
-        """The leaf that holds a place, and the characters before it, by a walk from the root."""
+        """The leaf that holds a place (the last with text for the text's end), and the characters before it."""
         node, before = 1, 0
+        place = min(place, max(0, self.chars - 1))
         while node < self.width:
             node *= 2
-            if place >= before + self.sums[node, 0] and before + self.sums[node, 0] < self.sums[1, 0]:
+            if place >= before + self.sums[node, 0]:
                 before += int(self.sums[node, 0])
                 node += 1
         return node - self.width, before
 
-    def _set(self, leaf: int, text: str, tokens: int) -> None:
-        self.leaves[leaf] = text
-        node = self.width + leaf
-        self.sums[node] = len(text), tokens
-        while node > 1:
-            node //= 2
-            self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
-
-    def _beside(self, leaf: int, step: int) -> int | None:
-        """The next leaf that still has text."""
-        leaf += step
-        while 0 <= leaf < len(self.leaves):
-            if self.leaves[leaf]:
-                return leaf
-            leaf += step
-        return None
-
     def edit(self, start: int, end: int, new: str) -> int:
         """Replaces characters start..end by ``new``; gives the characters that were encoded again."""
         if not 0 <= start <= end <= self.chars:
             raise ValueError("the edit is outside the text")
         first, before = self._leaf_at(start)
-        last, _ = self._leaf_at(max(start, end - 1))
-        if (a := self._beside(first, -1)) is not None:
-            first, before = a, before - len(self.leaves[a])
-        if (b := self._beside(last, 1)) is not None:
-            last = b
+        last = self._leaf_at(max(start, end - 1))[0]
+        if before and start < before + 2:  # its blank or the character after it
+            first, before = self._leaf_at(before - 1)
         old = "".join(self.leaves[first : last + 1])
         text = old[: start - before] + new + old[end - before :]
-        spaced = before > 0
-        if spaced and (len(text) < 2 or text[0] != " " or text[1].isspace()):  # the cut before the region is gone: once more from the start
-            text, first = "".join(self.leaves[:first]) + text, 0
-            spaced = False
-        following = self._beside(last, 1)
-        if following is not None and (not text or text[-1].isspace()):
-            last, text = len(self.leaves) - 1, text + "".join(self.leaves[last + 1 :])
-        if not spaced:
-            tokens = sum(len(p) // 4 for p in next(self.code.parts([text])))
+        if self.code.uncut(text) and text != (whole := "".join(self.leaves[:first]) + text + "".join(self.leaves[last + 1 :])):
+            self._build(*self._cut(whole, True))
+            return len(whole)
+        leaves, sums = self._cut(text, not before) if text else ([], [])
+        room = last + 1 - first
+        if len(leaves) > room:  # more leaves than before: new places for all, as yet without encoding any other
+            kept = self.sums[self.width : self.width + len(self.leaves)]
+            self._build(*self._live(self.leaves[:first] + leaves + self.leaves[last + 1 :], [*kept[:first], *sums, *kept[last + 1 :]]))
         else:
-            got = next(self.code.parts([text], spaced=True))
-            tokens = sum(len(p) // 4 for p in got)
-        for k in range(first + 1, last + 1):
-            if self.leaves[k]:
-                self._set(k, "", 0)
-        self._set(first, text, tokens)
+            self.leaves[first : last + 1] = leaves + [""] * (room - len(leaves))
+            at, to = self.width + first, self.width + last + 1
+            self.sums[at:to] = 0
+            self.sums[at : at + len(leaves)] = np.array(sums, dtype=np.int64).reshape(-1, 2)
+            while at > 1:
+                at, to = at // 2, (to + 1) // 2
+                self.sums[at:to] = self.sums[2 * at : 2 * to : 2] + self.sums[2 * at + 1 : 2 * to : 2]
         return len(text)
 
+    @staticmethod
+    def _live(leaves: list[str], sums: list) -> tuple[list[str], list]:
+        """Without the leaves that edits have emptied."""
+        live = [k for k, x in enumerate(leaves) if x]
+        return [leaves[k] for k in live], [sums[k] for k in live]
+
     def text(self) -> str:
         return "".join(self.leaves)
 
@@ -123,23 +119,24 @@ def count_tokens(docs: DataFrame, tokenizer: str, edits: int = 2, span: int = 16
     The edits of a text of n characters: for k in 1..edits, the characters from floor(n*k/(edits+1)), ``span`` at most,
     give way to the text's first ``span`` characters reversed.  n_tokens counts the text as it is, edited_tokens the
     text after all edits, encoded_chars what the edits encoded again.  Null counts as empty; empty texts have no token.
+    Rows are counted each by itself, so null and repeated doc_ids are reported as they come; other columns do not matter.
     """
     prepare(docs.sparkSession)
+    names = ["doc_id", "n_chars", "n_tokens", "edited_chars", "edited_tokens", "encoded_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             rows = []
-            for text, parts in zip(texts, code.parts(texts), strict=True):
-                tree = CountTree(text, code, parts)
-                n, tokens, again = tree.chars, tree.tokens, 0
+            for text in batch.column(1).to_pylist():
+                tree = CountTree(text or "", code)
+                head, n, tokens, again = (text or "")[:span][::-1], tree.chars, tree.tokens, 0
                 for k in range(1, edits + 1):
                     at = n * k // (edits + 1)
-                    again += tree.edit(at, min(n, at + span), text[:span][::-1])
+                    again += tree.edit(at, min(n, at + span), head)
                 rows.append((n, tokens, tree.chars, tree.tokens, again))
             cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_chars", "n_tokens", "edited_chars", "edited_tokens", "encoded_chars"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=names)
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(run, "doc_id long, n_chars long, n_tokens long, edited_chars long, edited_tokens long, encoded_chars long")
+    return d.mapInArrow(run, ", ".join(f"{x} long" for x in names))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from onomast.llm.base import components, groups, join_values, prepare, staged, tasks
+from onomast.llm.base import Forest, components, groups, join_values, prepare, staged, tasks
 from onomast.llm.word_cache import release
 
 HASHES, BITS = 256, 4
@@ -29,7 +29,8 @@ FINE = 2048
 BANDS, BAND_ROWS = 36, 7
 #: Standard deviations by which an estimate may fall short of the threshold before its pair is dropped.
 SLACK = 4.5
-SALTS, BLOCK = 16, 256
+#: Rows of a bucket that one leader is compared with, about, and rows of a block.
+LEADER_ROWS, BLOCK = 128, 256
 #: Ids that are broadcast at most (16 MB).
 MOST_IDS = 2_000_000
 
@@ -171,16 +172,17 @@ def fine_signatures(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+    """A spanning forest, task by task, of the pairs (a, b) whose full sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
         for batch in batches:
             a, b, x, y = batch.columns
-            good = []
+            ids, good = list(zip(a.to_pylist(), b.to_pylist(), strict=True)), []
             for i, (s, t) in enumerate(zip(x.to_pylist(), y.to_pylist(), strict=True)):
                 s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
                 both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(t) - both):
+                if 100 * both >= percent * (len(s) + len(t) - both) and forest.joins(*ids[i]):
                     good.append(i)
             yield pa.RecordBatch.from_arrays([a.take(pa.array(good, pa.int64())), b.take(pa.array(good, pa.int64()))], names=["a", "b"])
 
@@ -188,7 +190,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     sets = staged(shingle_sets(docs, staged(ids, "ids"), words), "sets")
     p = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a")
     p = p.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
-    return p.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return p.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def similarity(a: str, b: str) -> Column:
@@ -268,7 +270,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     short = classes.select("rep", "sig")
     members = classes.select("rep", F.explode("bands").alias("band"))
     counts = staged(members.groupBy("band").agg(F.count("*").alias("n"), F.count("*").alias("size")).where("n > 1"), "counts")
-    shared = join_values(members, counts, "band", "n").withColumn("salt", F.pmod(F.xxhash64("rep", "band"), F.lit(SALTS))).withColumn("o", F.xxhash64("band", "rep"))
+    shared = join_values(members, counts, "band", "n").withColumn("salt", F.pmod(F.xxhash64("rep", "band"), F.ceil(F.col("size") / LEADER_ROWS))).withColumn("o", F.xxhash64("band", "rep"))
     shared = staged(shared, "shared")
     # first pass: everyone with the leader of its salt, leaders of salts with the leader of the bucket
     lead = shared.groupBy("band", "salt").agg(F.min(F.struct("o", "rep")).alias("l"))

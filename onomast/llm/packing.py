@@ -21,8 +21,10 @@ from onomast.llm.word_cache import encoder
 CAPACITY = 2048
 #: Open bins of a task.
 OPEN_BINS = 4096
-#: Pieces that a task packs; the loss at a task's end (its half-filled last bins) falls as this grows.
+#: Pieces that a task packs at least; the loss at a task's end (its half-filled last bins) falls as this grows.
 PIECES_PER_TASK = 40_000
+#: Tasks at most, as a multiple of the shuffle partitions: a task streams, so beyond that tasks take more pieces each.
+MOST_TASKS = 4
 
 
 class BestFit:
@@ -91,16 +93,18 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
     """Adds sequence_id and offset to pieces (columns doc_id, piece, length; others pass through).
 
     Full pieces are sequences of their own.  The others are dealt by a hash that mixes all sizes into every
-    task, put into a fixed order (so a repeated task gives the same sequences) and packed as a stream.
+    task, put into a fixed order (so a repeated task gives the same sequences) and packed as a stream.  The hash takes
+    all columns and a number of the row, so that many rows of one doc_id, or none, and repeated rows are spread.
     ``parts`` is read twice (a count, the packing), so stage it.  Empty input gives an empty result.
     """
-    n = max(1, -(-parts.where(F.col("length") < capacity).count() // per_task))
-    order = F.xxhash64("doc_id", "piece", "length")
+    most = MOST_TASKS * int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, min(most, -(-parts.where(F.col("length") < capacity).count() // per_task)))
+    order = F.xxhash64(*parts.columns, F.pmod(F.monotonically_increasing_id(), F.lit(1024)))
     full = parts.where(F.col("length") == capacity)
     full = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     keyed = parts.where(F.col("length") < capacity).withColumn("_order", order)
     # dealt by value, not by turn: a task that runs again gets the same rows
-    dealt = keyed.repartition(n, F.pmod("_order", F.lit(n))).sortWithinPartitions("_order", "doc_id", "piece", "length")
+    dealt = keyed.repartition(n, "_order").sortWithinPartitions("_order", *parts.columns)
     schema = dealt.drop("_order").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onomast.llm import capfilters, counts, digest, langid, minhash, mixing, packing, quality, tokenbin, warc
-from onomast.llm.base import scratch
+from onomast.llm.base import own_session, scratch
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table of the folder, read in a session of its own, whose settings the operators follow."""
+    return own_session(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,19 +46,20 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = scratch(spark, "tokens")
-    tokenbin.write(_table(spark, sf_dir, "documents"), folder, _tokenizer("byte_bpe_50k.json"), vocabulary=50_257)
-    return tokenbin.read(spark, folder)
+    docs, folder = _table(spark, sf_dir, "documents"), scratch(spark, "tokens")
+    tokenbin.write(docs, folder, tokenizer("byte_bpe_50k.json"), vocabulary=50_257)
+    return tokenbin.read(docs.sparkSession, folder)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, docs.sparkSession.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op9_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = scratch(spark, "warc")
-    warc.write(_table(spark, sf_dir, "pages"), folder).agg(F.sum("records")).first()  # writes the archives
-    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages, folder = _table(spark, sf_dir, "pages"), scratch(spark, "warc")
+    warc.write(pages, folder).agg(F.sum("records")).first()  # writes the archives
+    return warc.read(pages.sparkSession, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,184 +1,146 @@
 """Exact, fast encoding of whole texts with a ``tokenizers`` file.
 
-Both public vocabularies cut a text into pre-tokens before any merge is made, and no pre-token reaches
-over the start of a run of white space.  So a text may be encoded chunk by chunk, and as most chunks of
-a corpus repeat, each worker keeps a bounded table from chunk to the bytes of its ids.  A document is a
-C-level ``split``, a C-level table walk and one ``bytes.join``; the chunks that the table lacks in a block
-of documents go to the library together.  A text whose white space is irregular (a run of it, or the
-control characters that libraries class differently) is encoded by the library as a whole.
+In both public vocabularies no pre-token reaches over a blank that is followed by something other than white space,
+whatever stands before it.  So a text may be cut at those blanks, into units, and encoded unit by unit; as most units
+of a corpus repeat, each worker keeps a bounded table from unit to the bytes of its ids.  The table is a dict whose
+``__missing__`` asks the library, so a lookup always answers: emptying it, at any time, costs time only.  Texts that
+may hold a special string, and files whose rules are not those of the two vocabularies, go to the library whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
 
-#: Chunks of a worker's table; it is emptied when it is full, so memory is bounded.
-MAX_CHUNKS = 600_000
-#: Characters of the texts that are encoded together.
-BLOCK_CHARS = 1_000_000
+#: Units of a worker's table, and the longest unit that it holds; together they bound its bytes (about 150 MB).
+MAX_UNITS = 500_000
+MAX_UNIT_CHARS = 48
 #: A run of these after an ASCII letter is a pre-token of its own in both vocabularies.
 _TAIL = ",.!?;:"
-_ENDS = frozenset(_TAIL)
-_ODD_CONTROLS = frozenset("\x1c\x1d\x1e\x1f\x85")
-
-
+#: Blanks that end a unit.  Python's white space covers the library's, so no cut is made that the library would not make.
+_CUT = re.compile(r" (?=\S)")
 #: The printable letters by which byte-level vocabularies write bytes: printable Latin-1 as it is, the others from U+0100.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
+class _Irregular(Exception):
+    """A chunk between blanks that is not a unit: it is empty or starts with white space."""
+
+
+class _Table(dict):
+    """unit -> ids (little-endian uint32); ``lead`` is what stands before the unit in its text."""
+
+    def __init__(self, code: CachedEncoder, lead: str):
+        super().__init__()
+        self.code, self.lead, self.most = code, lead, MAX_UNITS
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.code._unit(unit, self)
+        if len(unit) <= MAX_UNIT_CHARS and "\n" not in unit:  # line joints are rarely seen twice
+            if len(self) >= self.most:
+                self.clear()
+            self[unit] = ids
+        return ids
+
+
 class CachedEncoder:
-    """``ids(text)`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids`` (special strings are text)."""
+    """``ids(text)`` equals ``Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids``.
+
+    With ``special_as_text`` the special strings in a text are ordinary text, as by ``encode_special_tokens``.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self._model, self._line = self.tokenizer.model, self._whole("\n")
+        self.tokenizer.encode_special_tokens = special_as_text
         rules = json.loads(self.tokenizer.to_str())
         steps = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
-        bytewise = rules["pre_tokenizer"]["type"] == "ByteLevel" and not rules["pre_tokenizer"]["add_prefix_space"]
-        #: How a run of letters reaches the model: as it is, in lower case, or (empty) unknown here.
-        self._kind = "plain" if bytewise and not rules["normalizer"] else "lower" if steps == ["NFC", "Replace", "Lowercase"] and rules["pre_tokenizer"]["type"] == "Sequence" else ""
-        self._table: dict[str, bytes] = {}  # chunk after a blank -> ids, little-endian uint32
-        self._words: dict[str, bytes] = {}  # the same with the lead character in the key: " a", "a", "\na"
+        way = rules["pre_tokenizer"] or {"type": ""}
+        #: How words reach the model: as they are, in lower case, or (empty) unknown here, so that texts go whole.
+        self.kind = ""
+        if rules["model"]["type"] == "BPE":
+            if way["type"] == "ByteLevel" and not way["add_prefix_space"] and way["use_regex"] and not rules["normalizer"]:
+                self.kind = "plain"
+            elif steps == ["NFC", "Replace", "Lowercase"] and way["type"] == "Sequence":
+                self.kind = "lower"
+        special = [x["content"] for x in rules["added_tokens"]]
+        if any(x[:2].isalnum() or x[:2].isspace() for x in special):
+            self.kind = ""
+        #: A text without any of these holds no special string.
+        self._marks = () if special_as_text else tuple({x[:2] for x in special})
+        self._model, self._line = self.tokenizer.model, self._whole("\n")
+        self._after = _Table(self, " " if self.kind == "plain" else "")
+        self._heads = _Table(self, "") if self.kind == "plain" else self._after  # white space is dropped, so there is no lead
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    @staticmethod
-    def _parts(chunk: str, lead: str) -> list[str] | None:
-        """The words of a chunk that are encoded apart, each with its lead; None if it must not be cut off."""
-        if chunk.isalpha():
-            return [lead + chunk]
-        if chunk[-1:] in _ENDS and chunk[:-1].isalpha() and chunk[-2].isascii():
-            return [lead + chunk[:-1], chunk[-1]]
-        out = []
-        for line in chunk.split("\n"):
-            if not line or line[0].isspace() or line[-1].isspace() or not _ODD_CONTROLS.isdisjoint(line):
-                return None
-            core = line.rstrip(_TAIL)
-            if core and len(core) < len(line) and core[-1].isascii() and core[-1].isalpha():
-                out += [lead + core, line[len(core) :]]
-            else:
-                out.append(lead + line)
-            lead = "\n"
-        return out
-
-    def _learn(self, words: list[str]) -> None:
-        known, rest = self._words, words
-        if len(known) > MAX_CHUNKS:
-            known.clear()
-        if self._kind:
-            rest = []
-            for w in words:
-                code = self._single(w)
-                if code is None:
-                    rest.append(w)
-                else:
-                    known[w] = code
-        for at in range(0, len(rest), 1000):
-            part = rest[at : at + 1000]
-            code = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(code.ids, dtype="<u4").tobytes()
-            ends = np.cumsum(np.bincount(np.asarray(code.word_ids, dtype=np.int64), minlength=len(part)) * 4).tolist()
-            a = 0
-            for x, b in zip(part, ends, strict=True):
-                known[x] = ids[a:b]
-                a = b
-
-    def _single(self, word: str) -> bytes | None:
-        """The ids of a word that is one pre-token, straight from the library's model; None for any other.
-
-        A run of Latin-1 letters is one pre-token in both vocabularies, is in NFC and has a plain lower case.
-        """
-        lead = word[0] if word[0] in " \n" else ""
-        core = word[len(lead) :]
-        if not core.isalpha():
-            return None
-        if not core.isascii():
-            if max(core) > "\xff":
-                return None
-            core = (core.lower() if self._kind == "lower" else core).encode().decode("latin-1").translate(_BYTE_LETTERS)
-        elif self._kind == "lower":
-            core = core.lower()
-        if self._kind == "lower":
-            return array("I", [t.id for t in self._model.tokenize(core)]).tobytes()
-        ids = array("I", [t.id for t in self._model.tokenize("Ġ" + core if lead == " " else core)]).tobytes()
-        return self._line + ids if lead == "\n" else ids
-
-    def _block(self, texts: list[str], spaced: bool) -> Iterator[list[bytes] | None]:
-        table, known = self._table, self._words
-        if len(table) > MAX_CHUNKS:
-            table.clear()
-        split = [(x[1:] if spaced else x).split(" ") for x in texts]
-        firsts = [] if spaced else [x[0] for x in split]
-        if not spaced:
-            for chunks in split:
-                chunks[0] = ""
-        table[""] = b""  # stands for a text's first chunk; a later empty chunk is a run of blanks
-        found = [list(map(table.get, chunks)) for chunks in split]
-        lack: set[str] = set()
-        for chunks, got in zip(split, found, strict=True):
-            if None in got:
-                lack.update(compress(chunks, map(is_, got, repeat(None))))
-        cut = {x: self._parts(x, " ") for x in lack}
-        heads = {x: self._parts(x, "") for x in firsts}
-        need = {w for parts in (*cut.values(), *heads.values()) if parts for w in parts}
-        if new := need.difference(known):
-            self._learn(list(new))
-            if missing := need.difference(known):  # the table has just been emptied
-                self._learn(list(missing))
-        table.update((x, known[parts[0]] if len(parts) == 1 else b"".join([known[w] for w in parts])) for x, parts in cut.items() if parts)
-        for k, (chunks, got) in enumerate(zip(split, found, strict=True)):
-            if None in got:
-                got = list(map(table.get, chunks))
-            empty = chunks.count("") - (not spaced)
-            if empty or None in got or not spaced and heads[firsts[k]] is None:
-                yield None
-            else:
-                if not spaced:
-                    got[0] = b"".join([known[w] for w in heads[firsts[k]]])
-                yield got
-        for x in lack:
-            if "\n" in x:
-                table.pop(x, None)  # line joints are rarely seen twice
-
-    def parts(self, texts: Iterable[str | None], spaced: bool = False) -> Iterator[list[bytes]]:
-        """The ids of each text, little-endian uint32, one entry for each chunk between blanks.
-
-        A text that must not be cut is one entry.  With ``spaced`` every text starts with a blank that ends a word
-        before it.
-        """
-
-        def flush(block: list[str]) -> Iterator[list[bytes]]:
-            for text, got in zip(block, self._block(block, spaced), strict=True):
-                yield ([] if not text else [self._whole(text)]) if got is None else got
-
-        block, chars = [], 0
-        for text in texts:
-            block.append(text or "")
-            chars += len(block[-1])
-            if chars >= BLOCK_CHARS:
-                yield from flush(block)
-                block, chars = [], 0
-        yield from flush(block)
+    def uncut(self, text: str) -> bool:
+        """Whether a text goes to the library whole."""
+        return not self.kind or any(x in text for x in self._marks)
+
+    def _unit(self, unit: str, table: _Table) -> bytes:
+        """The ids of a unit that the table lacks."""
+        if unit.isalpha():
+            # a run of Latin-1 letters is one pre-token in both vocabularies, is in NFC and has a plain lower case
+            word = unit.lower() if self.kind == "lower" else unit
+            if not unit.isascii():
+                if max(unit) > "\xff":
+                    return self._whole(table.lead + unit)
+                word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            if self.kind == "plain" and table.lead:
+                word = "Ġ" + word
+            return array("I", [t.id for t in self._model.tokenize(word)]).tobytes()
+        if not unit or unit[0].isspace():
+            if table.lead:
+                raise _Irregular
+            return self._whole(unit) if unit else b""
+        core = unit.rstrip(_TAIL)
+        if core and len(core) < len(unit) and core[-1].isascii() and core[-1].isalpha():
+            return table[core] + self._heads[unit[len(core) :]]
+        if "\n" in unit:
+            lines = unit.split("\n")
+            if not any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+                break_ids = self._line
+                return table[lines[0]] + b"".join([break_ids + self._heads[x] for x in lines[1:]])
+        return self._whole(table.lead + unit)
+
+    def units(self, text: str) -> list[str]:
+        """The text's units; each but the first is preceded by the blank at which the text was cut."""
+        return [text] if self.uncut(text) else _CUT.split(text)
+
+    def unit_ids(self, units: list[str], first: bool = True) -> list[bytes]:
+        """The ids of consecutive units of a text that is not uncut; ``first`` if the text starts with them."""
+        if not first:
+            return list(map(self._after.__getitem__, units))
+        return [self._heads[units[0]], *map(self._after.__getitem__, units[1:])]
+
+    def parts(self, text: str | None) -> list[bytes]:
+        """The ids of a text in consecutive pieces, little-endian uint32; null counts as empty."""
+        if not text:
+            return []
+        if self.uncut(text):
+            return [self._whole(text)]
+        try:
+            return self.unit_ids(text.split(" "))
+        except _Irregular:
+            return self.unit_ids(_CUT.split(text))
 
     def raw(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian uint32; null counts as empty."""
-        return map(b"".join, self.parts(texts))
+        for text in texts:
+            yield b"".join(self.parts(text))
 
     def ids(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(next(self.raw([text])), dtype="<u4")
+        return np.frombuffer(b"".join(self.parts(text)), dtype="<u4")
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}

@@ -11,9 +11,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from onomast.llm import base, capfilters, counts, digest, langid, minhash, mixing, packing, quality, tokenbin, warc
-from onomast.llm.word_cache import CachedEncoder
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, queue string, rep long"
@@ -36,17 +36,6 @@ def nothing(spark):
     return spark.createDataFrame([], DOCS)
 
 
-@pytest.mark.parametrize("path", [WORDS, BYTES])
-def test_cached_ids_are_the_librarys(path):
-    code = CachedEncoder(path)
-    plain = lambda t: code.tokenizer.encode(t or "", add_special_tokens=False).ids
-    random.seed(3)
-    some = [" ".join(random.choice([x or "" for x in ODD[:12]] + ["the", "Ab,", "x.\ny"]) for _ in range(random.randint(0, 40))) for _ in range(150)]
-    for _ in range(2):
-        for t, raw in zip(ODD + some, code.raw(ODD + some), strict=True):
-            assert np.frombuffer(raw, "<u4").tolist() == plain(t)
-
-
 def test_best_fit():
     b, placed = packing.BestFit(10, 3), []
     for n in (6, 5, 7, 4, 10, 3, 9, 5):
@@ -63,7 +52,8 @@ def test_best_fit():
 def test_packing(spark, odd, nothing):
     p = packing.pack_documents(odd, WORDS, 64, with_ids=True)
     rows = p.collect()
-    ids = {k: [*CachedEncoder(WORDS).ids(t).tolist(), 0] for k, t in enumerate(ODD + ["same text here"] * 2)}
+    code = Tokenizer.from_file(WORDS)
+    ids = {k: [*code.encode(t or "", add_special_tokens=False).ids, 0] for k, t in enumerate(ODD + ["same text here"] * 2)}
     whole = {}
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"])):
         got = np.frombuffer(r["ids"], "<u4").tolist()
@@ -186,26 +176,8 @@ def test_embeddings(spark):
     assert len(got) == len(rows) and capfilters.near_duplicates(d.where("false")).count() == 0
 
 
-def test_count_tree():
-    code = CachedEncoder(BYTES)
-    random.seed(1)
-    pieces = ["the", "Ab,", "x.\ny", "  ", "don't", "é", "12", "\n", "a\n\nb", " ", "cat!!", "日本"]
-    for _ in range(120):
-        t = " ".join(random.choice(pieces) for _ in range(random.choice([0, 1, 3, 40, 300])))
-        tree = counts.CountTree(t, code)
-        for _ in range(4):
-            a = random.randint(0, len(t))
-            b = random.randint(a, min(len(t), a + random.choice([0, 1, 20, 200])))
-            new = random.choice(["", "q", " ", "a b", "\n", "  z "])
-            tree.edit(a, b, new)
-            t = t[:a] + new + t[b:]
-            assert tree.text() == t and tree.chars == len(t) and tree.tokens == len(code.tokenizer.encode(t, add_special_tokens=False).ids)
-    long = counts.CountTree("some words here " * 4000, code)
-    assert long.edit(30_000, 30_010, "zz") < 2000  # not the whole text
-
-
 def test_token_counts(spark, odd, nothing):
-    code = CachedEncoder(BYTES).tokenizer
+    code = Tokenizer.from_file(BYTES)
     for r in counts.count_tokens(odd, BYTES).collect():
         t = (ODD + ["same text here"] * 2)[r["doc_id"]] or ""
         n = len(t)
@@ -221,9 +193,9 @@ def test_token_counts(spark, odd, nothing):
 def test_token_files(spark, odd, nothing):
     folder = base.scratch(spark, "t")
     m = tokenbin.write(odd, folder, BYTES, 50_257)
-    code, at = CachedEncoder(BYTES), 0
+    code, at = Tokenizer.from_file(BYTES), 0
     for r in sorted(tokenbin.read(spark, folder, with_ids=True).collect(), key=lambda r: r["doc_id"]):
-        ids = np.append(code.ids((ODD + ["same text here"] * 2)[r["doc_id"]]), np.uint32(2)).astype("<u4")
+        ids = np.asarray([*code.encode((ODD + ["same text here"] * 2)[r["doc_id"]] or "", add_special_tokens=False).ids, 2], dtype="<u4")
         assert (r["start"], r["n_tokens"], r["ids"], r["ids_crc32"]) == (at, len(ids), ids.tolist(), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert m["type"] == "<u2" and tokenbin.document(folder, m, m["parts"][0]["part"], 0).tolist() == [2]
