@@ -10,8 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onomast.llm import langid, minhash, mixing, packing, quality
-from onomast.llm.base import prepare, scratch
-from onomast.llm.queries import _tokenizer
+from onomast.llm.base import own_session, prepare, scratch, short_batches
+from onomast.llm.queries import tokenizer
+
+
+def _ready(docs: DataFrame) -> None:
+    """Whole texts go to Python in short batches, in the session of ``docs``: that of :func:`run` is its own."""
+    prepare(docs.sparkSession)
+    short_batches(docs.sparkSession)
 
 
 def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -22,14 +28,14 @@ def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language stay: rejected are those without a letter (und). lang becomes the predicted one."""
-    prepare(spark)
+    _ready(docs)
     return langid.tag(docs, langid.fit(docs)).where("lang <> 'und'").select(*docs.columns)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as 1 stay."""
-    prepare(spark)
-    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    _ready(docs)
+    model = quality.fit(docs, docs.sparkSession.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep(docs, model)
 
 
@@ -38,6 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that agree in doc_id and text, nulls included, stay once, with the least of their other columns.
     """
+    _ready(docs)
     found = minhash.near_duplicates(docs, words=5, percent=80)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     once = _keep(docs, found.where("kept")).groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest"))
@@ -46,12 +53,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document; one that it takes in part is cut to those words."""
+    _ready(docs)
     return mixing.apply_mix(docs, mixing.mix(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the mixture with their places in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, _tokenizer("word_bpe_49k.json"))
+    _ready(docs)
+    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"))
 
 
 STAGES = [
@@ -67,6 +76,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark = own_session(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         path = scratch(spark, "stage")
