@@ -114,11 +114,11 @@ def join_values(rows: DataFrame, values: DataFrame, key: str, count: str, how: s
     total = values.agg(F.sum(count)).first()[0] or 0
     least = max(64, total // MOST_HEAVY, min(total // HEAVY_KEYS, TASK_ROWS))
     heavy = values.where(F.col(count) > least)
-    keys = [r[0] for r in heavy.select(key).limit(21).collect()]
+    keys = [r[0] for r in heavy.select(key).limit(HEAVY_KEYS + 1).collect()]
     light = values.where(F.col(count) <= least).drop(count)
     if not keys:
         return rows.join(light, key, how)
-    hot = F.coalesce(F.col(key).isin(keys), F.lit(False)) if len(keys) <= 20 else None
+    hot = F.coalesce(F.col(key).isin(keys), F.lit(False)) if len(keys) <= HEAVY_KEYS else None
     heavy = heavy.drop(count)
     if hot is None:
         flag = f"_hot_{uuid.uuid4().hex[:8]}"

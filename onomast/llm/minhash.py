@@ -3,8 +3,9 @@
 Each text's minima give band keys, from which candidates come, and their low four bits, packed into a short
 signature from whose bit counts a collision-corrected similarity is estimated.  Links are confirmed on the
 full shingle sets.  Equal texts are one class, so copies are never paired.  Within a bucket of a band a first pass
-compares each class with a few leaders; a second pass compares only classes that are still in different components,
-block by block, so no link between components is lost and the links inside a group are not listed.
+compares each class with a leader, and confirms its leaders, the likeliest first; a second pass compares only classes that
+are still in different components, block by block, by the low bits of more minima.  So no link between components is
+lost and the links inside a group are not listed.
 """
 
 from __future__ import annotations
@@ -16,23 +17,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from onomast.llm.base import Forest, components, groups, join_values, prepare, staged, tasks
 from onomast.llm.word_cache import release
 
 HASHES, BITS = 256, 4
-#: Hashes of the signatures that the second pass compares: few pairs short of the threshold pass its estimate.
-FINE = 2048
-#: A pair at similarity 0.85 shares no band with a chance of 8e-7, one at 0.8 with 1.5e-4.
-BANDS, BAND_ROWS = 36, 7
+#: Hashes and bits of the signatures that the second pass compares: few pairs short of the threshold pass their estimate.
+FINE, FINE_BITS = 2048, 2
+#: A pair at similarity 0.85 shares no band with a chance of 2e-6, one at 0.8 with 2e-4.
+BANDS, BAND_ROWS = 28, 6
 #: Standard deviations by which an estimate may fall short of the threshold before its pair is dropped.
 SLACK = 4.5
 #: Rows of a bucket that one leader is compared with, about, and rows of a block.
 LEADER_ROWS, BLOCK = 128, 256
-#: Ids that are broadcast at most (16 MB).
-MOST_IDS = 2_000_000
+#: Ids (16 MB) and classes of copies (about 50 MB) that are broadcast at most.
+MOST_IDS, MOST_CLASSES = 2_000_000, 500_000
 
 
 def least_estimate(threshold: float, hashes: int = HASHES, bits: int = BITS) -> float:
@@ -101,20 +102,24 @@ def minima(shingles: np.ndarray, hashes: int = HASHES) -> np.ndarray:
     return least
 
 
-def pack_bits(least: np.ndarray) -> np.ndarray:
-    """The low BITS bits of each minimum, sixteen to a 64-bit integer."""
-    low = (least & np.uint32(15)).astype(np.uint8)
-    return (low[0::2] | (low[1::2] << 4)).view(np.int64)
+def pack_bits(least: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The low ``bits`` (1, 2 or 4) bits of each minimum, packed into 64-bit integers."""
+    low = (least & np.uint32(2**bits - 1)).astype(np.uint8)
+    while bits < 8:
+        low, bits = low[0::2] | (low[1::2] << bits), 2 * bits
+    return low.view(np.int64)
 
 
-def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Corrected similarity of signatures (rows of uint64): equal nibbles by bit counts, less the chance ones."""
-    x = a ^ b
-    x |= x >> np.uint64(2)
-    x |= x >> np.uint64(1)
-    unequal = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=-1, dtype=np.int64)
-    c = 2.0**-BITS
-    return ((1 - unequal / (16 * a.shape[-1])) - c) / (1 - c)
+def estimates(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Corrected similarity of signatures (rows of uint64): equal groups of bits by bit counts, less the chance ones."""
+    x, shift = a ^ b, bits
+    while shift > 1:
+        shift //= 2
+        x |= x >> np.uint64(shift)
+    one_each = np.uint64((2**64 - 1) // (2**bits - 1))
+    unequal = np.bitwise_count(x & one_each).sum(axis=-1, dtype=np.int64)
+    c = 2.0**-bits
+    return ((1 - unequal / (64 // bits * a.shape[-1])) - c) / (1 - c)
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -165,14 +170,18 @@ def fine_signatures(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = [pack_bits(minima(np.frombuffer(x, np.uint64), FINE)) for x in batch.column(1).to_pylist()]
+            sig = [pack_bits(minima(np.frombuffer(x, np.uint64), FINE), FINE_BITS) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.list_(pa.int64()))], names=["rep", "sig"])
 
     return shingle_sets(docs, ids, words).mapInArrow(run, "rep long, sig array<long>")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """A spanning forest, task by task, of the pairs (a, b) whose full sets reach the threshold."""
+    """A spanning forest, task by task, of the pairs (a, b) whose full sets reach the threshold.
+
+    The sets of ``a`` are moved once for each pair, those of ``b`` once: put the id that stands in fewer pairs first.
+    """
+    pairs = staged(pairs, "pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
@@ -186,11 +195,11 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
                     good.append(i)
             yield pa.RecordBatch.from_arrays([a.take(pa.array(good, pa.int64())), b.take(pa.array(good, pa.int64()))], names=["a", "b"])
 
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    sets = staged(shingle_sets(docs, staged(ids, "ids"), words), "sets")
-    p = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a")
-    p = p.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
-    return p.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    first = shingle_sets(docs, staged(pairs.select(F.col("a").alias("rep")).distinct(), "ids"), words)
+    near = F.broadcast(pairs) if pairs.count() <= MOST_IDS else pairs
+    first = first.withColumnRenamed("set", "x").join(near, F.col("rep") == F.col("a")).select("a", "b", "x")
+    second = shingle_sets(docs, staged(pairs.select(F.col("b").alias("rep")).distinct(), "ids"), words)
+    return first.join(second.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def similarity(a: str, b: str) -> Column:
@@ -211,11 +220,11 @@ def _blocks(members: DataFrame) -> DataFrame:
     return m.withColumn("block", F.when(F.col("in_comp") >= BLOCK // 2, own).otherwise(rest)).drop("bc", "in_comp")
 
 
-def cross_pairs(members: DataFrame, least: float) -> DataFrame:
+def cross_pairs(members: DataFrame, fine: DataFrame, least: float) -> DataFrame:
     """Pairs of a bucket whose classes are in different components and whose estimate reaches ``least``.
 
-    ``members``: band, size, rep, comp, sig.  Two blocks of a bucket meet in one group unless one component fills
-    both; a group is two blocks, whatever the size of its bucket.
+    ``members``: band, size, rep, comp; ``fine``: rep, sig.  Two blocks of a bucket meet in one group unless one
+    component fills both; a group is two blocks, whatever the size of its bucket.
     """
     rows = staged(_blocks(members), "blocks")
     blocks = staged(rows.groupBy("band", "block").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")), "blocks")
@@ -224,7 +233,7 @@ def cross_pairs(members: DataFrame, least: float) -> DataFrame:
     meet = staged(x.join(y, "band").where("x <= y and not (x0 = x1 and y0 = y1 and x0 = y0)").select("band", "x", "y"), "meet")
     who = meet.select("band", F.col("x").alias("block"), "x", "y").union(meet.where("x <> y").select("band", F.col("y").alias("block"), "x", "y"))
     # groups are small, so many are handed to Python together: sorted, and cut where the group changes
-    rows = rows.join(who, ["band", "block"]).select("band", "x", "y", "block", "rep", "comp", "sig")
+    rows = rows.join(who, ["band", "block"]).join(fine, "rep").select("band", "x", "y", "block", "rep", "comp", "sig")
     n = tasks(rows.sparkSession, meet.count(), 2000)
     dealt = rows.repartition(n, "band", "x", "y").sortWithinPartitions("band", "x", "y")
 
@@ -236,7 +245,7 @@ def cross_pairs(members: DataFrame, least: float) -> DataFrame:
         out_a, out_b = [], []
         for i in np.flatnonzero(left):
             j = r[comp[r] != comp[i]]
-            if len(j) and len(j := j[estimates(sig[j], sig[i]) >= least]):
+            if len(j) and len(j := j[estimates(sig[j], sig[i], FINE_BITS) >= least]):
                 out_a.append(np.minimum(rep[j], rep[i]))
                 out_b.append(np.maximum(rep[j], rep[i]))
         return out_a, out_b
@@ -251,6 +260,14 @@ def cross_pairs(members: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are in different components."""
+    x = comp.select(F.col("node").alias("a"), F.col("component").alias("x"))
+    y = comp.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    p = pairs.join(x, "a", "left").join(y, "b", "left")
+    return p.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -263,34 +280,47 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if percent < 80:
         raise ValueError("the bands are made for similarities of 0.8 or more")
     least = least_estimate(percent / 100)
-    sig = staged(signatures(docs, words), "signatures")
+    # each class of equal texts is its first row, so only the classes that have copies are looked up
+    sig = staged(signatures(docs, words).withColumn("row", F.monotonically_increasing_id()), "signatures")
     usable = "cls is not null and doc_id is not null"
-    classes = sig.where(usable).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count("*").alias("n"))
-    classes = staged(classes, "classes")
-    short = classes.select("rep", "sig")
-    members = classes.select("rep", F.explode("bands").alias("band"))
-    counts = staged(members.groupBy("band").agg(F.count("*").alias("n"), F.count("*").alias("size")).where("n > 1"), "counts")
-    shared = join_values(members, counts, "band", "n").withColumn("salt", F.pmod(F.xxhash64("rep", "band"), F.ceil(F.col("size") / LEADER_ROWS))).withColumn("o", F.xxhash64("band", "rep"))
-    shared = staged(shared, "shared")
-    # first pass: everyone with the leader of its salt, leaders of salts with the leader of the bucket
-    lead = shared.groupBy("band", "salt").agg(F.min(F.struct("o", "rep")).alias("l"))
-    lead = staged(lead.select("band", "salt", F.col("l.o").alias("o"), F.col("l.rep").alias("leader")), "leaders")
-    top = lead.groupBy("band").agg(F.min(F.struct("o", "leader")).alias("l")).select("band", F.col("l.leader").alias("leader"))
-    near = shared.select("band", "salt", "rep").join(lead.select("band", "salt", "leader"), ["band", "salt"]).select("rep", "leader")
-    far = lead.select("band", F.col("leader").alias("rep")).join(top, "band").select("rep", "leader")
-    star = near.union(far).where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    star = star.join(short.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(short.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-    star = staged(star.where(similarity("sa", "sb") >= least).select("a", "b").distinct(), "star")
-    first = staged(confirm(star, docs, words, percent), "links")
+    classes = sig.where(usable).groupBy("cls").agg(F.min(F.struct("doc_id", "row")).alias("m"), F.count("*").alias("n"))
+    classes = staged(classes.select("cls", F.col("m.doc_id").alias("rep"), F.col("m.row").alias("first"), "n"), "classes")
+    copied = classes.where("n > 1").select("cls", "first", "n")
+    rows = sig.where(usable).select("cls", F.col("doc_id").alias("rep"), "row", "sig", "bands")
+    rows = rows.join(F.broadcast(copied.drop("n")), "cls", "left") if copied.count() <= MOST_CLASSES else join_values(rows, copied, "cls", "n", "left")
+    rows = rows.where("first is null or first = row")
+    members = rows.select("rep", F.explode("bands").alias("band"))
+    counts = staged(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n")), "counts")
+    shared = join_values(members, counts, "band", "n").withColumn("salt", F.pmod(F.xxhash64("rep", "band"), F.ceil(F.col("size") / LEADER_ROWS)))
+    # first pass: everyone with the leader of its salt (about LEADER_ROWS rows), leaders with the leader of the bucket
+    leader = F.min(F.struct(F.xxhash64("band", "rep").alias("o"), F.col("rep").alias("leader"))).over(Window.partitionBy("band", "salt"))
+    shared = staged(shared.withColumn("lead", leader).select("band", "rep", "size", "lead.o", "lead.leader"), "shared")
+    lead = shared.where(f"rep = leader and size > {LEADER_ROWS}").select("band", "o", "rep")
+    top = lead.groupBy("band").agg(F.min(F.struct("o", "rep")).alias("l")).select("band", F.col("l.rep").alias("leader"))
+    star = shared.select("rep", "leader").union(lead.join(top, "band").select("rep", "leader")).where("rep <> leader").distinct()
+    star = staged(star, "star")
+    ids = staged(star.select("rep").union(star.select("leader")).distinct(), "ids")
+    short = rows.select("rep", "sig").join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "rep", "left_semi")
+    star = star.join(short.withColumnRenamed("sig", "sa"), "rep").join(short.select(F.col("rep").alias("leader"), F.col("sig").alias("sb")), "leader")
+    star = staged(star.select("rep", "leader", similarity("sa", "sb").alias("e")).where(F.col("e") >= least), "star")
+    # the likeliest leader of each is confirmed first, then those that are still in other components
+    best = staged(star.groupBy("rep").agg(F.max(F.struct("e", "leader")).alias("l")).select(F.col("rep").alias("a"), F.col("l.leader").alias("b")), "best")
+    first = staged(confirm(best, docs, words, percent), "links")
     comp = staged(components(first), "components")
+    more = staged(apart(star.select(F.col("rep").alias("a"), F.col("leader").alias("b")), comp).join(best, ["a", "b"], "left_anti"), "more")
+    more = staged(confirm(more, docs, words, percent), "links")
+    if not more.isEmpty():
+        first = staged(first.union(more), "links")
+        comp = staged(components(first), "components")
     # second pass: buckets in which components still differ
     at = shared.select("band", "rep", "size").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     at = staged(at, "at")
     mixed = staged(at.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 < c1").select("band", "n"), "mixed")
     at = staged(join_values(at, mixed, "band", "n"), "mixed")
     fine = staged(fine_signatures(docs, staged(at.select("rep").distinct(), "ids"), words), "fine")
-    pairs = staged(cross_pairs(at.join(fine, "rep"), least_estimate(percent / 100, FINE)).join(star, ["a", "b"], "left_anti"), "cross")
-    second = staged(confirm(pairs, docs, words, percent), "links")
+    pairs = cross_pairs(at, fine, least_estimate(percent / 100, FINE, FINE_BITS))
+    done = star.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+    second = staged(confirm(pairs.join(done, ["a", "b"], "left_anti"), docs, words, percent), "links")
     if not second.isEmpty():
         comp = staged(components(first.union(second)), "components")
     small = staged(classes.select("cls", F.col("rep").alias("node"), "n").join(comp, "node", "left").select("cls", "n", F.coalesce("component", "node").alias("component_id")), "small")

@@ -295,3 +295,11 @@ def test_fingerprints(spark, nothing):
 def test_unlike_texts_in_a_bucket(spark, monkeypatch):
     monkeypatch.setattr(digest.xxhash, "xxh3_128_hexdigest", lambda b: "0" * 32)
     assert digest.digest("a") == digest.digest("b")
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+def test_estimates_by_bits(bits):
+    rng = np.random.default_rng(bits)
+    common, own, other = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (800, 100, 100))
+    a, b = (minhash.pack_bits(minhash.minima(np.concatenate([common, x]), 4096), bits).view(np.uint64) for x in (own, other))
+    assert abs(float(minhash.estimates(a, b, bits)) - 0.8) < 0.04 and float(minhash.estimates(a, a, bits)) == 1
