@@ -36,6 +36,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int, end_id:
     prepare(docs.sparkSession)
     to = local_path(folder)
     os.makedirs(to, exist_ok=True)
+    end = np.asarray([end_id], dtype="<u4").tobytes()
     kind = "<u2" if max(vocabulary, end_id + 1) <= 2**16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,9 +50,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int, end_id:
             for batch in batches:
                 ids, lengths = batch.column(0).fill_null(_NULL).to_numpy(), []
                 for raw in code.raw(batch.column(1).to_pylist()):
-                    tokens = np.append(np.frombuffer(raw, dtype="<u4"), np.uint32(end_id)).astype(kind)
-                    out["ids"].write(tokens.tobytes())
-                    lengths.append(len(tokens))
+                    out["ids"].write(np.frombuffer(raw + end, dtype="<u4").astype(kind).data)
+                    lengths.append(len(raw) // 4 + 1)
                 ends = at + np.cumsum(np.array(lengths, dtype=np.int64))
                 out["idx"].write(np.concatenate([[at], ends[:-1]]).astype("<u8").tobytes() if lengths else b"")
                 out["doc"].write(ids.astype("<i8").tobytes())
@@ -103,12 +103,13 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
                 ids = np.memmap(f"{to}/{part:06d}.ids", dtype=kind, mode="r")
                 idx = np.memmap(f"{to}/{part:06d}.idx", dtype="<u8", mode="r")
                 doc = np.memmap(f"{to}/{part:06d}.doc", dtype="<i8", mode="r")
-                for at in range(a, b, 2000):
-                    to_row = min(b, at + 2000)
+                for at in range(a, b, 500):
+                    to_row = min(b, at + 500)
                     edge = np.asarray(idx[at : to_row + 1]).astype(np.int64)
-                    own = [np.asarray(ids[x:y]).astype("<u4") for x, y in zip(edge, edge[1:], strict=False)]
+                    flat = np.asarray(ids[edge[0] : edge[-1]])
+                    own = [flat[x:y].astype("<u4") for x, y in zip((edge - edge[0]).tolist(), (edge[1:] - edge[0]).tolist(), strict=False)]
                     d = np.asarray(doc[at:to_row])
-                    cols = [pa.array(d, pa.int64(), mask=d == _NULL), pa.array(edge[:-1] + base), pa.array(np.diff(edge)), pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64())]
+                    cols = [pa.array(d, pa.int64(), mask=d == _NULL), pa.array(edge[:-1] + base), pa.array(np.diff(edge)), pa.array([zlib.crc32(x.data) for x in own], pa.int64())]
                     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                     if with_ids:
                         cols, names = [*cols, pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64()))], [*names, "ids"]
