@@ -31,7 +31,7 @@ BANDS, BAND_ROWS = 28, 6
 #: Standard deviations by which an estimate may fall short of the threshold before its pair is dropped.
 SLACK = 4.5
 #: Rows of a bucket that one leader is compared with, about, and rows of a block.
-LEADER_ROWS, BLOCK = 128, 256
+LEADER_ROWS, BLOCK = 128, 512
 #: Ids (16 MB) and classes of copies (about 50 MB) that are broadcast at most.
 MOST_IDS, MOST_CLASSES = 2_000_000, 500_000
 
