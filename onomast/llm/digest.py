@@ -2,14 +2,15 @@
 
 The canonical form of a text is NFKC, case-folded, with runs of white space folded to one blank.  Documents are
 grouped by its 128-bit xxhash, and inside equal buckets the canonical bytes are compared: a second text in a bucket
-has its ordinal in its fingerprint.  The likeness of two such digests is 1 or 0.
+has its ordinal in its fingerprint.  The likeness of two such digests is 1 or 0.  Should very many unlike texts share
+128 bits, all digests are widened by another seed.
 """
 
 from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from onomast.llm.base import prepare, staged
 
 #: Digests of repeated texts that are broadcast at most (about 50 MB).
 MOST_DIGESTS = 500_000
+#: Unlike texts in equal buckets that tasks are told of; with more, digests are widened, up to MOST_WIDTH times.
+MOST_UNLIKE, MOST_WIDTH = 1000, 4
 
 
 def canonical(text: str | None) -> str:
@@ -32,11 +35,16 @@ def canonical(text: str | None) -> str:
     return " ".join(text.split())
 
 
+def _hash(canonical_text: str, width: int = 1, hasher: Callable[[bytes, int], str] = xxhash.xxh3_128_hexdigest) -> str:
+    data = canonical_text.encode()
+    return "".join([hasher(data, seed) for seed in range(width)])
+
+
 def digest(text: str | None) -> str:
-    return xxhash.xxh3_128_hexdigest(canonical(text).encode())
+    return _hash(canonical(text))
 
 
-def buckets(docs: DataFrame) -> DataFrame:
+def buckets(docs: DataFrame, width: int = 1, hasher: Callable[[bytes, int], str] = xxhash.xxh3_128_hexdigest) -> DataFrame:
     """Bytes compared inside equal buckets: (digest, canonical, ordinal) of the texts beyond a bucket's first.
 
     The result is empty unless two unlike texts share 128 bits.  Only texts of buckets with several rows are moved,
@@ -46,12 +54,12 @@ def buckets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([digest(t) for t in batch.column(0).to_pylist()], pa.string())], names=["digest"])
+            yield pa.RecordBatch.from_arrays([pa.array([_hash(canonical(t), width, hasher) for t in batch.column(0).to_pylist()], pa.string())], names=["digest"])
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = [canonical(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_hexdigest(x.encode()) for x in c], pa.string()), pa.array(c, pa.string())], names=["digest", "canonical"])
+            yield pa.RecordBatch.from_arrays([pa.array([_hash(x, width, hasher) for x in c], pa.string()), pa.array(c, pa.string())], names=["digest", "canonical"])
 
     text = docs.select(F.col("text").cast("string").alias("text"))
     twice = staged(text.mapInArrow(run, "digest string").groupBy("digest").count().where("count > 1").select("digest"), "buckets")
@@ -61,7 +69,7 @@ def buckets(docs: DataFrame) -> DataFrame:
     return staged(first.where("ordinal > 0").select("digest", "canonical", "ordinal"), "collisions")
 
 
-def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, ranges: int | None = None, hasher: Callable[[bytes, int], str] = xxhash.xxh3_128_hexdigest) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, a row per document.
 
     Texts are whole; null counts as empty.  A text is edited by the document next in descending doc_id (after the last
@@ -75,10 +83,12 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     n, known = d.agg(F.count("*"), F.count("doc_id")).first()
     if not n:
         return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    clashes = buckets(docs)
-    unlike = {(r[0], r[1]): r[2] for r in clashes.limit(1000).collect()}  # texts that share 128 bits: none in practice
-    if len(unlike) >= 1000:
-        raise RuntimeError("over a thousand unlike texts share 128-bit digests")
+    for width in range(1, MOST_WIDTH + 1):
+        unlike = {(r[0], r[1]): r[2] for r in buckets(docs, width, hasher).limit(MOST_UNLIKE + 1).collect()}  # none in practice
+        if len(unlike) <= MOST_UNLIKE:
+            break
+    else:
+        raise RuntimeError(f"over {MOST_UNLIKE} unlike texts share digests of {128 * MOST_WIDTH} bits")
     # ranges are streamed, so their number follows the shuffle partitions and not the rows
     k = max(1, min(n // 8, ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     ids = d.where("doc_id is not null").agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 10_000) if k > 1 else F.array(), F.max("doc_id")).first()
@@ -100,9 +110,8 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(look), batch.column(0).take(take), batch.column(1).take(take)], names=["range", "look", "doc_id", "text"])
 
-    def sign(text: str) -> str:
-        c = canonical(text)
-        out = xxhash.xxh3_128_hexdigest(c.encode())
+    def sign(c: str) -> str:
+        out = _hash(c, width, hasher)
         extra = unlike.get((out, c)) if unlike else None
         return out if extra is None else f"{out}-{extra}"
 
@@ -113,14 +122,20 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         for batch in batches:
             out = []
             for at, look, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mark = None if look and before is None else sign(text)
+                c = mark = None
+                if not look or before is not None:
+                    c = canonical(text)
+                    mark = sign(c)
                 if before is not None and before[0] == at:
-                    _, own_id, own, own_mark = before
+                    _, own_id, own, own_c, own_mark = before
                     cut = len(own) // 3
                     edited = own[: len(own) - cut] + text[:cut]
-                    other = sign(edited)
-                    out.append((own_id, len(own), hashlib.sha256(edited.encode()).hexdigest(), own_mark, other, float(own_mark == other), float(own_mark == mark)))
-                before = None if look else (at, doc_id, text, mark)
+                    edited_c = canonical(edited)
+                    other, same = sign(edited_c), edited_c == own_c  # bytes are compared, whatever the digests say
+                    if other == own_mark and not same:
+                        other += "-edited"
+                    out.append((own_id, len(own), hashlib.sha256(edited.encode()).hexdigest(), own_mark, other, float(same), float(own_mark == mark)))
+                before = None if look else (at, doc_id, text, c, mark)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
