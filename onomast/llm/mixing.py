@@ -58,8 +58,11 @@ def running(sizes: DataFrame) -> DataFrame:
 
     Three levels, by prefixes of the queue hash: rows in a bucket, buckets in a coarse bucket, coarse buckets in a
     source.  So a source that holds a third of all rows is summed by many tasks, and no window outgrows the square
-    root of the rows.
+    root of the rows.  Rows that agree in doc_id (or have none), source and size are one row of the sums and follow
+    each other in the queue, so many rows of one doc_id meet as no more rows than they have sizes.
     """
+    sizes = sizes.groupBy("doc_id", "source", "size", "queue").agg(F.count("*").alias("copies")).withColumn("each", F.col("size")).withColumn("size", F.col("size") * F.col("copies"))
+    sizes = staged(sizes, "queues")
     n = max(1, sizes.count() // BUCKET_ROWS)
     digits = max(1, (n.bit_length() + 3) // 4)
     half = (digits + 1) // 2
@@ -77,7 +80,8 @@ def running(sizes: DataFrame) -> DataFrame:
     s = s.join(f, F.col("source").eqNullSafe(F.col("f_source")) & (F.col("fine") == F.col("f_fine")))
     in_bucket = Window.partitionBy("f_source", "f_fine").orderBy("queue", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("before", F.col("bucket_before") + F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
-    return s.drop("coarse", "fine", "f_source", "f_fine", "bucket_before")
+    s = s.withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)"))).withColumn("size", F.col("each")).withColumn("before", F.col("before") + F.col("copy") * F.col("each"))
+    return s.drop("coarse", "fine", "f_source", "f_fine", "bucket_before", "copies", "copy", "each")
 
 
 def _position(place: Column, target: Column, cls: Column, schedules) -> Column:
