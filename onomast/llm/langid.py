@@ -20,8 +20,6 @@ from onomast.llm.word_cache import release
 
 #: Documents of each language that the machines are fitted on, about: they are chosen by a hash of doc_id.
 SAMPLE_PER_LANGUAGE = 600
-#: Documents of a fitted language at least; rarer values are not learned apart from noise.
-LEAST_DOCUMENTS = 3
 WIDTH = 2048
 #: Language families of ISO 639-1 codes; a code that is not named is a family of its own.
 FAMILIES = {
@@ -145,10 +143,11 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageMod
     """Learns from text and lang of the rows outside the held-out fold; None if there is no such row.
 
     About ``per_language`` documents of each language are chosen by hash, so the sample is bounded by the number of
-    languages, whatever the input's size.
+    languages, whatever the input's size.  Every value of lang is learned, were it that of one document; machines grow
+    with the square of the languages of a family and of the families, so lang should hold codes and not free text.
     """
     rows = docs.where(~held_out("doc_id", 5, 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect() if r[1] >= LEAST_DOCUMENTS}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
         return None
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1_000_000)) / 1_000_000
