@@ -108,4 +108,37 @@ SELECT doc_id, size, source, source_size::BIGINT AS source_size, round(target, 6
 FROM p JOIN k USING (cls)
 """
 
-ORACLES = {"op2_source_mixing": MIX_SQL}
+#: Links on whole sets of shingles, then what they reach.
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'),
+                                lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+g AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM g),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY ALL HAVING 100 * count(*) >= 85 * (min(a.n) + min(b.n) - count(*))),
+r(node, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.reached FROM r JOIN l ON l.a = r.node)
+SELECT g.doc_id, len(s)::BIGINT AS n_shingles, min(reached) AS component_id, min(reached) = g.doc_id AS kept
+FROM g JOIN r ON r.node = g.doc_id GROUP BY g.doc_id, s
+"""
+
+#: Cosines of all pairs of a label.
+CAP_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda c: NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+r(node, reached) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.reached FROM r JOIN l ON l.a = r.node)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id)::BIGINT AS n_links,
+       (SELECT min(reached) FROM r WHERE r.node = e.vec_id) AS component_id,
+       (SELECT min(reached) FROM r WHERE r.node = e.vec_id) = e.vec_id AS kept
+FROM embeddings e
+"""
+
+ORACLES = {"op2_source_mixing": MIX_SQL, "op3_minhash_near_dedup": NEAR_SQL, "op5_embedding_near_dedup": CAP_SQL}

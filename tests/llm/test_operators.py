@@ -99,6 +99,16 @@ def test_mixing(spark, odd, nothing):
     assert taken.columns == odd.columns and taken.select(F.sum(F.regexp_count("text", F.lit(base.WORD)))).first()[0] == sum(r["taken"] for r in rows)
 
 
+def test_mixing_rows_of_one_id(spark):
+    """Rows without a doc_id and copies are a queue of their own rows: as many rows come out, and targets are met."""
+    rows = [(None, f"w{k % 5} " * (k % 5), "s") for k in range(200)] + [(7, "a b c", "s")] * 90 + [(8, "x", None)] * 3
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit(1))).collect()
+    assert sorted((r["doc_id"] or -1, r["size"]) for r in got) == sorted((i or -1, len(t.split())) for i, t, _ in rows)
+    for s in ("s", None):
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1 and all(r["taken"] <= 2 * r["size"] for r in own)
+
+
 def shingles(text, n):
     w = (text or "").encode().lower().split()
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
@@ -293,8 +303,26 @@ def test_fingerprints(spark, nothing):
 
 
 def test_unlike_texts_in_a_bucket(spark, monkeypatch):
-    monkeypatch.setattr(digest.xxhash, "xxh3_128_hexdigest", lambda b: "0" * 32)
-    assert digest.digest("a") == digest.digest("b")
+    """With digests that collide, fingerprints still are equal for equal canonical texts alone."""
+    hasher = lambda data, seed: f"{len(data) % 4 if seed == 0 else data[:1].hex()}"
+    texts = ["a", "b", "c", "dd", "ee", "A ", "ff", None, "ggg", "hhh", "b", "dddd"]
+    t = [x or "" for x in reversed(texts)]
+    canon = [digest.canonical(x) for x in t]
+    assert digest.buckets(docs_of(spark, texts), 1, hasher).count() == 6
+    for most, length in ((1000, 3), (3, 4)):  # told of the unlike texts, or widened by a second seed
+        monkeypatch.setattr(digest, "MOST_UNLIKE", most)
+        rows = sorted(digest.fingerprints(docs_of(spark, texts), hasher=hasher).collect(), key=lambda r: -r["doc_id"])
+        for a, x in enumerate(canon):
+            for b, y in enumerate(canon):
+                assert (rows[a]["fingerprint"] == rows[b]["fingerprint"]) == (x == y)
+            edited = t[a][: len(t[a]) - len(t[a]) // 3] + t[(a + 1) % len(t)][: len(t[a]) // 3]
+            same = digest.canonical(edited) == x
+            assert (rows[a]["near_edited"], rows[a]["fingerprint"] == rows[a]["edited_fingerprint"]) == (float(same), same)
+            assert rows[a]["near_next"] == float(canon[(a + 1) % len(t)] == x)
+        assert max(len(r["fingerprint"]) for r in rows) <= length
+    monkeypatch.setattr(digest, "MOST_UNLIKE", 1)
+    with pytest.raises(RuntimeError):
+        digest.fingerprints(docs_of(spark, texts), hasher=lambda data, seed: "0")
 
 
 @pytest.mark.parametrize("bits", [1, 2, 4])
