@@ -223,8 +223,9 @@ def _blocks(members: DataFrame) -> DataFrame:
 def cross_pairs(members: DataFrame, fine: DataFrame, least: float) -> DataFrame:
     """Pairs of a bucket whose classes are in different components and whose estimate reaches ``least``.
 
-    ``members``: band, size, rep, comp; ``fine``: rep, sig.  Two blocks of a bucket meet in one group unless one
-    component fills both; a group is two blocks, whatever the size of its bucket.
+    ``members``: band, size, rep, comp; ``fine``: rep, sig, bands.  Two blocks of a bucket meet in one group unless one
+    component fills both; a group is two blocks, whatever the size of its bucket.  A pair that meets in several
+    buckets is reported by that of its first common band.
     """
     rows = staged(_blocks(members), "blocks")
     blocks = staged(rows.groupBy("band", "block").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")), "blocks")
@@ -233,19 +234,21 @@ def cross_pairs(members: DataFrame, fine: DataFrame, least: float) -> DataFrame:
     meet = staged(x.join(y, "band").where("x <= y and not (x0 = x1 and y0 = y1 and x0 = y0)").select("band", "x", "y"), "meet")
     who = meet.select("band", F.col("x").alias("block"), "x", "y").union(meet.where("x <> y").select("band", F.col("y").alias("block"), "x", "y"))
     # groups are small, so many are handed to Python together: sorted, and cut where the group changes
-    rows = rows.join(who, ["band", "block"]).join(fine, "rep").select("band", "x", "y", "block", "rep", "comp", "sig")
+    rows = rows.join(who, ["band", "block"]).join(fine, "rep").select("band", "x", "y", "block", "rep", "comp", "sig", "bands")
     n = tasks(rows.sparkSession, meet.count(), 2000)
     dealt = rows.repartition(n, "band", "x", "y").sortWithinPartitions("band", "x", "y")
 
     def pairs(t: pa.Table) -> tuple[list, list]:
         rep, comp = t["rep"].to_numpy(), t["comp"].to_numpy()
         sig = pc.list_flatten(t["sig"]).to_numpy().view(np.uint64).reshape(len(rep), -1)
+        bands, band = pc.list_flatten(t["bands"]).to_numpy().reshape(len(rep), -1), t["band"][0].as_py()
         left = pc.equal(t["block"], t["x"]).to_numpy()
         r = np.flatnonzero(pc.equal(t["block"], t["y"]).to_numpy())
         out_a, out_b = [], []
         for i in np.flatnonzero(left):
             j = r[comp[r] != comp[i]]
             if len(j) and len(j := j[estimates(sig[j], sig[i], FINE_BITS) >= least]):
+                j = j[bands[i][(bands[j] == bands[i]).argmax(axis=1)] == band]
                 out_a.append(np.minimum(rep[j], rep[i]))
                 out_b.append(np.maximum(rep[j], rep[i]))
         return out_a, out_b
@@ -254,10 +257,9 @@ def cross_pairs(members: DataFrame, fine: DataFrame, least: float) -> DataFrame:
         for t in groups(batches, ["band", "x", "y"]):
             a, b = pairs(t)
             if a:
-                both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -317,7 +319,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     at = staged(at, "at")
     mixed = staged(at.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 < c1").select("band", "n"), "mixed")
     at = staged(join_values(at, mixed, "band", "n"), "mixed")
-    fine = staged(fine_signatures(docs, staged(at.select("rep").distinct(), "ids"), words), "fine")
+    ids = staged(at.select("rep").distinct(), "ids")
+    keys = rows.select("rep", "bands").join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "rep", "left_semi")
+    fine = staged(fine_signatures(docs, ids, words).join(keys, "rep"), "fine")
     pairs = cross_pairs(at, fine, least_estimate(percent / 100, FINE, FINE_BITS))
     done = star.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     second = staged(confirm(pairs.join(done, ["a", "b"], "left_anti"), docs, words, percent), "links")
