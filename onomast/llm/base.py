@@ -103,15 +103,15 @@ def tasks(spark: SparkSession, rows: int, each: int) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-rows // each))
 
 
-def join_values(rows: DataFrame, values: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+def join_values(rows: DataFrame, values: DataFrame, key: str, count: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """Joins rows with one value row per key, where a key may hold a third of all rows.
 
     ``values`` is the staged outcome of an aggregation by ``key`` over those rows, with their number in ``count``.
     Heavy keys are at most MOST_HEAVY many, so they are broadcast; a key that is not heavy has at most TASK_ROWS rows
     (or, beyond TASK_ROWS * MOST_HEAVY rows in all, the same share of them), and these meet in a shuffle.  ``count`` is
-    dropped.  A null key finds no value.
+    dropped.  A null key finds no value.  ``total`` is the number of rows, if it is known.
     """
-    total = values.agg(F.sum(count)).first()[0] or 0
+    total = values.agg(F.sum(count)).first()[0] or 0 if total is None else total
     least = max(64, total // MOST_HEAVY, min(total // HEAVY_KEYS, TASK_ROWS))
     heavy = values.where(F.col(count) > least)
     keys = [r[0] for r in heavy.select(key).limit(HEAVY_KEYS + 1).collect()]
@@ -193,23 +193,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = staged(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     nodes = staged(e.select(F.col("u").alias("node")).union(e.select("v")).distinct(), "nodes")
-    mark = None
     for _ in range(60):
+        n = e.count()
         both = e.union(e.select("v", "u"))
         least = staged(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-        large = join_values(both, least.withColumn("m", F.least("u", "m")), "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = join_values(both, least.withColumn("m", F.least("u", "m")), "u", "n", total=2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = staged(large.where("u <> v").distinct(), "large")
         least = staged(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-        small = join_values(e, least, "u", "n")
+        small = join_values(e, least, "u", "n", total=n)
         e = staged(
             small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v").where("u <> v").distinct(),
             "small",
         )
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
+        # settled once every node either is the centre of a star or has one edge, to such a centre
+        sides = e.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(e.select("v", F.lit(0), F.lit(1)))
+        if sides.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or out = 1 and into = 1").isEmpty():
             break
-        mark = now
     else:
         raise RuntimeError("components did not settle")
     return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

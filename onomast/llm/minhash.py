@@ -3,7 +3,7 @@
 Each text's minima give band keys, from which candidates come, and their low four bits, packed into a short
 signature from whose bit counts a collision-corrected similarity is estimated.  Links are confirmed on the
 full shingle sets.  Equal texts are one class, so copies are never paired.  Within a bucket of a band a first pass
-compares each class with a leader, and confirms its leaders, the likeliest first; a second pass compares only classes that
+compares each class with a leader; a second pass compares only classes that
 are still in different components, block by block, by the low bits of more minima.  So no link between components is
 lost and the links inside a group are not listed.
 """
@@ -148,13 +148,14 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, cls binary, sig array<long>, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int, most: int | None = None) -> DataFrame:
     """(rep, set) of the documents named in ``ids`` (column rep), the set as sorted little-endian 64-bit hashes.
 
     Up to MOST_IDS ids are broadcast, so only the named texts are moved; beyond that the two sides are shuffled.
+    ``most`` is a bound of their number, if one is known.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    ids = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+    ids = F.broadcast(ids) if (ids.count() if most is None else most) <= MOST_IDS else ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -177,11 +178,10 @@ def fine_signatures(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """A spanning forest, task by task, of the pairs (a, b) whose full sets reach the threshold.
+    """A spanning forest, task by task, of the pairs (a, b; a staged table) whose full sets reach the threshold.
 
     The sets of ``a`` are moved once for each pair, those of ``b`` once: put the id that stands in fewer pairs first.
     """
-    pairs = staged(pairs, "pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
@@ -195,10 +195,11 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
                     good.append(i)
             yield pa.RecordBatch.from_arrays([a.take(pa.array(good, pa.int64())), b.take(pa.array(good, pa.int64()))], names=["a", "b"])
 
-    first = shingle_sets(docs, staged(pairs.select(F.col("a").alias("rep")).distinct(), "ids"), words)
-    near = F.broadcast(pairs) if pairs.count() <= MOST_IDS else pairs
+    n = pairs.count()
+    first = shingle_sets(docs, pairs.select(F.col("a").alias("rep")).distinct(), words, n)
+    near = F.broadcast(pairs) if n <= MOST_IDS else pairs
     first = first.withColumnRenamed("set", "x").join(near, F.col("rep") == F.col("a")).select("a", "b", "x")
-    second = shingle_sets(docs, staged(pairs.select(F.col("b").alias("rep")).distinct(), "ids"), words)
+    second = shingle_sets(docs, pairs.select(F.col("b").alias("rep")).distinct(), words, n)
     return first.join(second.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -262,14 +263,6 @@ def cross_pairs(members: DataFrame, fine: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are in different components."""
-    x = comp.select(F.col("node").alias("a"), F.col("component").alias("x"))
-    y = comp.select(F.col("node").alias("b"), F.col("component").alias("y"))
-    p = pairs.join(x, "a", "left").join(y, "b", "left")
-    return p.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -304,16 +297,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     ids = staged(star.select("rep").union(star.select("leader")).distinct(), "ids")
     short = rows.select("rep", "sig").join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "rep", "left_semi")
     star = star.join(short.withColumnRenamed("sig", "sa"), "rep").join(short.select(F.col("rep").alias("leader"), F.col("sig").alias("sb")), "leader")
-    star = staged(star.select("rep", "leader", similarity("sa", "sb").alias("e")).where(F.col("e") >= least), "star")
-    # the likeliest leader of each is confirmed first, then those that are still in other components
-    best = staged(star.groupBy("rep").agg(F.max(F.struct("e", "leader")).alias("l")).select(F.col("rep").alias("a"), F.col("l.leader").alias("b")), "best")
-    first = staged(confirm(best, docs, words, percent), "links")
+    star = staged(star.where(similarity("sa", "sb") >= least).select(F.col("rep").alias("a"), F.col("leader").alias("b")), "star")
+    first = staged(confirm(star, docs, words, percent), "links")
     comp = staged(components(first), "components")
-    more = staged(apart(star.select(F.col("rep").alias("a"), F.col("leader").alias("b")), comp).join(best, ["a", "b"], "left_anti"), "more")
-    more = staged(confirm(more, docs, words, percent), "links")
-    if not more.isEmpty():
-        first = staged(first.union(more), "links")
-        comp = staged(components(first), "components")
     # second pass: buckets in which components still differ
     at = shared.select("band", "rep", "size").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     at = staged(at, "at")
@@ -323,8 +309,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     keys = rows.select("rep", "bands").join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "rep", "left_semi")
     fine = staged(fine_signatures(docs, ids, words).join(keys, "rep"), "fine")
     pairs = cross_pairs(at, fine, least_estimate(percent / 100, FINE, FINE_BITS))
-    done = star.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    second = staged(confirm(pairs.join(done, ["a", "b"], "left_anti"), docs, words, percent), "links")
+    done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = staged(confirm(staged(pairs.join(done, ["a", "b"], "left_anti"), "pairs"), docs, words, percent), "links")
     if not second.isEmpty():
         comp = staged(components(first.union(second)), "components")
     small = staged(classes.select("cls", F.col("rep").alias("node"), "n").join(comp, "node", "left").select("cls", "n", F.coalesce("component", "node").alias("component_id")), "small")
