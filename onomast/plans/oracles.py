@@ -167,7 +167,6 @@ dec AS (
 
 
 _SLIP_QUERIES = f"WITH {_SLIPS} SELECT query_id, raw FROM slips"
-_DOC_QUERIES = "SELECT row_number() OVER (ORDER BY raw) AS query_id, raw FROM (SELECT DISTINCT lower(regexp_extract(text, '[A-Za-z]+')) AS raw FROM documents) WHERE raw <> ''"
 
 
 def _with(ctes: str, select: str) -> str:
@@ -208,8 +207,8 @@ _EXCLUDED = "('rose'), ('gold')"
 
 ORACLES = {
     "normalize_names": f"""SELECT raw, {_normal('nfc_normalize(raw)')} AS normalized, {_compact(_normal('nfc_normalize(raw)'))} AS compact FROM (
-      SELECT p_name AS raw FROM part UNION SELECT s_name FROM supplier UNION SELECT c_name FROM customer UNION SELECT substr(text, 1, 40) FROM documents)""",
-    "detect_script": f"SELECT raw, {_SCRIPT} AS script FROM ({s.SCRIPTS_SQL} UNION SELECT substr(text, 1, 60) FROM documents)",
+      SELECT p_name AS raw FROM part UNION SELECT s_name FROM supplier UNION SELECT c_name FROM customer UNION SELECT text FROM documents)""",
+    "detect_script": f"SELECT raw, {_SCRIPT} AS script FROM ({s.SCRIPTS_SQL} UNION SELECT text FROM documents)",
     "cross_script_pairs": f"""WITH x AS (SELECT DISTINCT {_SCRIPT} AS s FROM ({s.SCRIPTS_SQL}))
       SELECT a.s AS query_script, b.s AS entry_script, (a.s IN ('HEBREW', 'MIXED') AND b.s = 'LATIN') OR (a.s = 'LATIN' AND b.s IN ('HEBREW', 'MIXED')) AS compared FROM x a, x b""",
     "parse_name_list": f"""SELECT file, (row_number() OVER (PARTITION BY file ORDER BY i))::INT AS place, raw FROM (
@@ -242,7 +241,6 @@ ORACLES = {
     "check_names": _with(_decisions(_SLIP_QUERIES), """SELECT dec.query_id, raw AS input, decision, round(confidence, 6) AS confidence, count(top5.rank)::INT AS candidates, coalesce(min(code) FILTER (top5.rank = 1), '') AS best
       FROM dec LEFT JOIN top5 USING (query_id) GROUP BY ALL"""),
     "check_names_calibrated": _with(_decisions(_SLIP_QUERIES, 0.68), "SELECT query_id, decision, round(confidence, 6) AS confidence FROM dec"),
-    "check_names_docs": _with(_decisions(_DOC_QUERIES), "SELECT dec.query_id, raw AS input, decision, round(confidence, 6) AS confidence, coalesce(code, '') AS best FROM dec LEFT JOIN top5 ON top5.query_id = dec.query_id AND top5.rank = 1"),
     "reserved_slots": f"""WITH r AS ({s.RANKED_SQL}), g AS (SELECT *, across AND sum(across::INT) OVER (PARTITION BY query_id ORDER BY rank) <= 2 AS held FROM r),
       t AS (SELECT *, row_number() OVER (PARTITION BY query_id, held ORDER BY rank) AS k, count(*) FILTER (held) OVER (PARTITION BY query_id) AS n FROM g)
       SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY rank))::INT AS rank, code, score FROM t WHERE held OR k <= 5 - n""",
