@@ -59,12 +59,17 @@ def check(names: DataFrame, catalogue: Catalogue, config: MatchConfig = DEFAULT,
     """One row per name: query_id, input, normalized, decision, confidence, candidates, display_candidates.
 
     ``names``: query_id (unique), raw.  ``aliases``: the outcome of ``decide.aliases``.  Names that are empty in normal
-    form are allowed.
+    form are allowed.  Across scripts, names with their spellings and the candidates are persisted on first use, as
+    several branches of the plan read them; :func:`release` frees them.
     """
     q = prepared(names, catalogue)
-    groups = [same_script_candidates(q, catalogue, config)]
+    held = []
     if catalogue.across:
-        groups.append(cross_script_candidates(q, catalogue, config))
+        q = q.persist()
+        groups = [same_script_candidates(q, catalogue, config), cross_script_candidates(q, catalogue, config).persist()]
+        held = [q, groups[1]]
+    else:
+        groups = [same_script_candidates(q, catalogue, config)]
     if aliases is not None:
         groups.insert(0, decide.ranked(decide.alias_candidates(q, aliases)))
     short = decide.short_list(decide.united([g.where(F.col("rank") <= config.candidates) for g in groups]), config)
@@ -73,4 +78,12 @@ def check(names: DataFrame, catalogue: Catalogue, config: MatchConfig = DEFAULT,
     empty = F.array().cast(out.schema["candidates"].dataType)
     out = out.withColumn("candidates", F.coalesce("candidates", empty)).withColumn("display_candidates", F.coalesce("display_candidates", empty))
     out = out.withColumn("_d", decide.decision(F.col("candidates"), config))
-    return out.select("query_id", "input", "normalized", F.col("_d.decision").alias("decision"), F.col("_d.confidence").alias("confidence"), "candidates", "display_candidates")
+    out = out.select("query_id", "input", "normalized", F.col("_d.decision").alias("decision"), F.col("_d.confidence").alias("confidence"), "candidates", "display_candidates")
+    out._held = held
+    return out
+
+
+def release(checked: DataFrame) -> None:
+    """Frees what :func:`check` has persisted for its result."""
+    for part in checked.__dict__.pop("_held", []):
+        part.unpersist()

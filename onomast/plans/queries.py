@@ -311,7 +311,7 @@ def terminal_text(spark, folder):
 
 def review_selection(spark, folder):
     r = sinks.review_batch(_decided(spark, folder))
-    return r.where("selected").select("id", "brand", "outcome")
+    return sinks.selection(r, r.where("selected").select("id")).select("id", "brand", "outcome")
 
 
 def review_display(spark, folder):
