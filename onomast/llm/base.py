@@ -129,6 +129,19 @@ def join_values(rows: DataFrame, values: DataFrame, key: str, count: str, how: s
     return a.join(F.broadcast(heavy), key, how).unionByName(b.join(light, key, how))
 
 
+def trim() -> None:
+    """Gives the memory that this worker has freed back to the machine: idle workers wait for other operators' tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if libc := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        libc(0)
+
+
 def groups(batches, keys: list[str]):
     """Tables of the rows that agree in ``keys``, from batches that are sorted by them; one group is held at a time."""
     import numpy as np

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from onomast.llm.base import prepare
+from onomast.llm.base import prepare, trim
 from onomast.llm.word_cache import release
 
 #: Documents of each language that the machines are fitted on, about: they are chosen by a hash of doc_id.
@@ -207,5 +207,6 @@ def tag(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             if known:
                 lang[known] = model.predict(ngrams([texts[i] for i in known]))[0]
             yield batch.set_column(batch.schema.get_field_index("lang"), "lang", pa.array(lang.tolist(), pa.string()))
+        trim()
 
     return docs.mapInArrow(run, schema)

@@ -10,7 +10,7 @@ lost and the links inside a group are not listed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from onomast.llm.base import Forest, components, groups, join_values, prepare, staged, tasks
+from onomast.llm.base import Forest, components, groups, join_values, prepare, staged, tasks, trim
 from onomast.llm.word_cache import release
 
 HASHES, BITS = 256, 4
@@ -144,6 +144,8 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 rows = least[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
                 bands.append([xxhash.xxh3_64_intdigest(r.tobytes(), k) - 2**63 for k, r in enumerate(rows)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "cls", "sig", "bands"])
+        del shingler
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, cls binary, sig array<long>, bands array<long>")
 
@@ -157,24 +159,30 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int, most: int | None =
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     ids = F.broadcast(ids) if (ids.count() if most is None else most) <= MOST_IDS else ids
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
-        for batch in batches:
-            sets = [shingler.set(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "set"])
-
-    return texts.join(ids, "rep", "left_semi").mapInArrow(run, "rep long, set binary")
+    return _of_sets(texts.join(ids, "rep", "left_semi"), words, "set binary", lambda x: x.tobytes())
 
 
-def fine_signatures(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(rep, sig) of the documents named in ``ids``, of FINE hashes; ids are broadcast as in :func:`shingle_sets`."""
+def _of_sets(texts: DataFrame, words: int, column: str, of: Callable[[np.ndarray], object]) -> DataFrame:
+    """rep and what ``of`` makes of the shingle set, in one pass of one Python worker a task."""
+    name, _, kind = column.partition(" ")
+    arrow = pa.binary() if kind == "binary" else pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
         for batch in batches:
-            sig = [pack_bits(minima(np.frombuffer(x, np.uint64), FINE), FINE_BITS) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.list_(pa.int64()))], names=["rep", "sig"])
+            made = [of(shingler.set(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, arrow)], names=["rep", name])
+        del shingler
+        trim()
+
+    return texts.mapInArrow(run, f"rep long, {column}")
 
-    return shingle_sets(docs, ids, words).mapInArrow(run, "rep long, sig array<long>")
+
+def fine_signatures(docs: DataFrame, ids: DataFrame, words: int, most: int) -> DataFrame:
+    """(rep, sig) of the documents named in ``ids`` (``most`` at most), of FINE hashes; see :func:`shingle_sets`."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(F.broadcast(ids) if most <= MOST_IDS else ids, "rep", "left_semi")
+    return _of_sets(texts, words, "sig array<long>", lambda x: pack_bits(minima(x, FINE), FINE_BITS))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -306,8 +314,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     mixed = staged(at.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 < c1").select("band", "n"), "mixed")
     at = staged(join_values(at, mixed, "band", "n"), "mixed")
     ids = staged(at.select("rep").distinct(), "ids")
-    keys = rows.select("rep", "bands").join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "rep", "left_semi")
-    fine = staged(fine_signatures(docs, ids, words).join(keys, "rep"), "fine")
+    n = ids.count()
+    keys = rows.select("rep", "bands").join(F.broadcast(ids) if n <= MOST_IDS else ids, "rep", "left_semi")
+    fine = staged(fine_signatures(docs, ids, words, n).join(keys, "rep"), "fine")
     pairs = cross_pairs(at, fine, least_estimate(percent / 100, FINE, FINE_BITS))
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = staged(confirm(staged(pairs.join(done, ["a", "b"], "left_anti"), "pairs"), docs, words, percent), "links")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from onomast.llm.base import prepare
+from onomast.llm.base import prepare, trim
 from onomast.llm.langid import held_out
 
 #: Labelled rows that the trees are fitted on, about; they are chosen by a hash of doc_id.
@@ -158,5 +158,6 @@ def keep(docs: DataFrame, model: BoostedTrees | None) -> DataFrame:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             x = np.array([statistics(t) for t in texts]).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) >= THRESHOLD))
+        trim()
 
     return docs.mapInArrow(run, docs.schema) if model else docs

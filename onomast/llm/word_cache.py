@@ -17,8 +17,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Units of a worker's table, and the longest unit that it holds; together they bound its bytes (about 150 MB).
-MAX_UNITS = 500_000
+#: Units of a worker's table, and the longest unit that it holds; together they bound its bytes (about 100 MB).
+MAX_UNITS = 400_000
 MAX_UNIT_CHARS = 48
 #: A run of these after an ASCII letter is a pre-token of its own in both vocabularies.
 _TAIL = ",.!?;:"
