@@ -6,9 +6,11 @@ Retrieval has decided what is compared; each distinct pair of texts is compared
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,18 +92,83 @@ def same_script(q: DataFrame, e: DataFrame, pooled: DataFrame) -> DataFrame:
     return best_by_code(rows.select(*COLUMNS))
 
 
-def _spelling_rows(pairs: DataFrame) -> DataFrame:
-    """Every compared pair of spellings: query_id, entry_ord, variant_seq, a, b, source, confidence, with signals and skeleton flags."""
-    p = similarity.compared(pairs, "a", "b")
-    s = F.col("signals")
-    skeleton = F.when(F.col("native"), hebrew_skeleton(F.col("a"))).otherwise(latin_skeleton(F.col("a")))
-    other = F.when(F.col("native"), hebrew_skeleton(F.col("b"))).otherwise(latin_skeleton(F.col("b")))
-    p = p.withColumn("skeleton", skeleton).withColumn("skeleton_match", (F.col("skeleton") != "") & (F.col("skeleton") == other)).withColumn("exact", F.col("a") == F.col("b"))
-    base = F.when(F.col("exact"), F.lit(0.8) + F.lit(0.19) * F.col("confidence")).otherwise(s["score"] * (F.lit(0.7) + F.lit(0.3) * F.col("confidence")))
-    lifted = ~F.col("exact") & F.col("skeleton_match") & (F.length("skeleton") >= SKELETON_LENGTH)
-    p = p.withColumn("score", F.when(lifted, F.greatest(base, F.lit(SKELETON_FLOOR) * F.col("confidence"))).otherwise(base))
-    kind = F.when(F.col("exact"), "TRANSLITERATION_EXACT").when(s["score"] >= FUZZY_SIMILARITY, "TRANSLITERATION_FUZZY").otherwise("CROSS_LANGUAGE_POSSIBLE_MATCH")
-    return p.withColumn("match_type", kind).withColumn("similarity", F.when(F.col("exact"), 1.0).otherwise(s["score"])).withColumn("partial_match", ~F.col("exact") & s["partial"])
+#: Comparisons of spellings that a worker makes at once.
+COMPARISONS = 50_000
+_SPELLED = (
+    "seq long, a string, b string, source string, confidence double, native boolean, score double, exact boolean, skeleton string, skeleton_match boolean, "
+    f"signals {SIGNALS}"
+)
+
+
+def _spellings(variants: Column, text: Callable[[Column], Column], skeleton: Callable[[Column], Column]) -> Column:
+    """Variants with the text that is compared and its skeleton, which is made once for a spelling and not for each pair."""
+    return F.transform(variants, lambda v: F.struct(text(v["value"]).alias("text"), v["source"].alias("source"), v["confidence"].alias("confidence"), skeleton(text(v["value"])).alias("skeleton")))
+
+
+def _source(a: str, b: str) -> str:
+    return next((s for s in ("CURATED", "GENERATED") if s in (a, b)), "ORIGINAL")
+
+
+def _best_spellings(pairs: list[dict], curated: spelling.Curated, floor: float) -> tuple[list[int], list[tuple], list[tuple]]:
+    """Of each of a pair's spellings the best comparison, if its score reaches ``floor``: (pair, row, signals).
+
+    Comparisons that cannot reach the floor are left out before edit distances are made; those that are exact or share
+    a long skeleton always take part.
+    """
+    tried = []  # pair, seq, native, own spelling, the other's, source, confidence, exact, skeletons match
+    for k, p in enumerate(pairs):
+        written = [{"text": p["normalized"], "skeleton": p["written"]}]
+        for native, mine, others in ((False, p["variants"] or (), p["own"] or ()), (True, p["hebrew"] or (), written)):
+            for seq, x in enumerate(mine, 1000 if native else 0):
+                for y in others:
+                    if y["text"]:
+                        source, confidence = (x["source"], x["confidence"]) if native else (_source(x["source"], y["source"]), min(x["confidence"], y["confidence"]))
+                        tried.append((k, seq, native, x, y, source, confidence, x["text"] == y["text"], x["skeleton"] != "" and x["skeleton"] == y["skeleton"]))
+    distinct = list(dict.fromkeys((t[3]["text"], t[4]["text"]) for t in tried))
+    bound = dict(zip(distinct, similarity.score_bounds([a for a, _ in distinct], [b for _, b in distinct]).tolist(), strict=True))
+    tried = [t for t in tried if t[7] or t[8] or bound[t[3]["text"], t[4]["text"]] * (0.7 + 0.3 * t[6]) >= floor]
+    distinct = list(dict.fromkeys((t[3]["text"], t[4]["text"]) for t in tried))
+    signals = dict(zip(distinct, similarity.compare_many([a for a, _ in distinct], [b for _, b in distinct]), strict=True))
+    best: dict[tuple[int, int], tuple] = {}
+    for k, seq, native, x, y, source, confidence, exact, match in tried:
+        a, b = x["text"], y["text"]
+        score = 0.8 + 0.19 * confidence if exact else signals[a, b][0] * (0.7 + 0.3 * confidence)
+        if not exact and match and len(x["skeleton"]) >= SKELETON_LENGTH:
+            score = max(score, SKELETON_FLOOR * confidence)
+        if score >= floor and ((k, seq) not in best or score > best[k, seq][6]):
+            best[k, seq] = (seq, a, b, source, confidence, native, score, exact, x["skeleton"], match)
+    # the skeleton of a Hebrew spelling that matches is shown by its first romanization
+    shown = {r[1]: spelling.romanized_skeleton(r[1], curated) for r in best.values() if r[5] and r[9]}
+    rows = [(*r[:8], shown[r[1]] if r[5] and r[9] else r[8], r[9]) for r in best.values()]
+    return [k for k, _ in best], rows, [signals[r[1], r[2]] for r in rows]
+
+
+def _spelling_rows(pairs: DataFrame, keep: list[str], rules: str, floor: float) -> DataFrame:
+    """``keep`` and the best comparisons of every pair's spellings, made in one kernel: no comparison is a row of the plan."""
+    taken = ["variants", "hebrew", "own", "normalized", "written"]
+    kept = pairs.select(*keep).schema
+    names = [x.split()[0] for x in _SPELLED.split(f", signals {SIGNALS}")[0].split(", ")]
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.float64(), pa.bool_(), pa.string(), pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        curated = spelling._curated_of(rules)
+        for batch in batches:
+            sizes = [pa.compute.fill_null(pa.compute.list_value_length(batch.column(batch.schema.get_field_index(c))), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in taken[:3]]
+            part = np.cumsum(sizes[0] * sizes[2] + sizes[1] + 1) // COMPARISONS
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                piece = batch.slice(i, j - i)
+                at, rows, signals = _best_spellings(piece.select(taken).to_pylist(), curated, floor)
+                if rows:
+                    made = [pa.array([r[n] for r in rows], t) for n, t in enumerate(types)]
+                    own = piece.select(keep).take(pa.array(at, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*own.columns, *made, similarity.signal_array(signals)], names=[*keep, *names, "signals"])
+
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), _SPELLED])
+    p = pairs.select(*keep, *taken).mapInArrow(run, schema)
+    s, exact = F.col("signals"), F.col("exact")
+    kind = F.when(exact, "TRANSLITERATION_EXACT").when(s["score"] >= FUZZY_SIMILARITY, "TRANSLITERATION_FUZZY").otherwise("CROSS_LANGUAGE_POSSIBLE_MATCH")
+    return p.withColumn("match_type", kind).withColumn("similarity", F.when(exact, 1.0).otherwise(s["score"])).withColumn("partial_match", ~exact & s["partial"])
 
 
 def credible(similarity_: Column, exact: Column, confidence: Column, skeleton_match: Column, skeleton: Column, variant: Column) -> Column:
@@ -114,44 +181,18 @@ def credible(similarity_: Column, exact: Column, confidence: Column, skeleton_ma
     )
 
 
-def _romanized(rows: DataFrame, rules: str) -> DataFrame:
-    """Replaces the Hebrew skeleton of matching rows by the Latin skeleton of their spelling's first romanization."""
-    schema = rows.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        curated = spelling._curated_of(rules)
-        for batch in batches:
-            at = batch.schema.get_field_index("skeleton")
-            got = [spelling.romanized_skeleton(a, curated) for a in batch.column(batch.schema.get_field_index("a")).to_pylist()]
-            yield batch.set_column(at, "skeleton", pa.array(got, pa.string()))
-
-    mine = F.col("native") & F.col("skeleton_match")
-    return rows.where(mine).mapInArrow(run, schema).unionByName(rows.where(~mine))
-
-
 def spelled(q: DataFrame, e: DataFrame, pooled: DataFrame, rules: str = "{}", config: MatchConfig = DEFAULT) -> DataFrame:
     """Candidates across scripts by spelling, a row for each code.
 
     The script filter comes after the pool's cut, as entries of the name's own script use its places too.  Filters
     come before the best is chosen: the best spelling is often too speculative to keep.
     """
-    names = q.select("query_id", F.col("script").alias("q_script"), "variants", "hebrew")
-    entries = e.select("entry_ord", "code", "label", F.col("script").alias("e_script"), "normalized", F.col("variants").alias("own"))
-    pairs = pooled.join(entries, "entry_ord").join(names, "query_id").where(cross_script(F.col("q_script"), F.col("e_script")))
-    keep = ["query_id", "entry_ord", "pool_rank", "code", "label", "q_script", "e_script"]
     bare = lambda x: F.replace(x, F.lit("'"), F.lit(""))
-    latin = pairs.select(*keep, "own", F.posexplode("variants").alias("seq", "v")).select(*keep, "seq", "v", F.posexplode("own").alias("own_seq", "w"))
-    latin = latin.withColumn("a", bare(F.col("v.value"))).withColumn("b", bare(F.col("w.value"))).where("b <> ''")
-    sources = F.array("v.source", "w.source")
-    source = F.when(F.array_contains(sources, "CURATED"), "CURATED").when(F.array_contains(sources, "GENERATED"), "GENERATED").otherwise("ORIGINAL")
-    latin = latin.select(*keep, "seq", "own_seq", "a", "b", source.alias("source"), F.least("v.confidence", "w.confidence").alias("confidence"), F.lit(False).alias("native"))
-    native = pairs.select(*keep, "normalized", F.posexplode(F.slice("hebrew", 1, SCORED_SPELLINGS)).alias("seq", "v"))
-    native = native.select(*keep, (F.col("seq") + 1000).alias("seq"), F.lit(0).alias("own_seq"), F.col("v.value").alias("a"), F.col("normalized").alias("b"), "v.source", "v.confidence", F.lit(True).alias("native"))
-    rows = _spelling_rows(latin.unionByName(native))
-    # of a romanization's pairs the best alone counts, and before the filters
-    w = Window.partitionBy("query_id", "entry_ord", "seq").orderBy(F.desc("score"), "own_seq")
-    rows = rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").where(F.col("score") >= config.cross_floor)
-    rows = _romanized(rows, rules)
+    names = q.select("query_id", F.col("script").alias("q_script"), _spellings(F.col("variants"), bare, latin_skeleton).alias("variants"), _spellings(F.slice("hebrew", 1, SCORED_SPELLINGS), lambda x: x, hebrew_skeleton).alias("hebrew"))
+    own = _spellings(F.col("variants"), bare, latin_skeleton).alias("own")
+    entries = e.select("entry_ord", "code", "label", F.col("script").alias("e_script"), "normalized", hebrew_skeleton(F.col("normalized")).alias("written"), own)
+    pairs = pooled.join(entries, "entry_ord").join(names, "query_id").where(cross_script(F.col("q_script"), F.col("e_script")))
+    rows = _spelling_rows(pairs, ["query_id", "entry_ord", "pool_rank", "code", "label", "q_script", "e_script"], rules, config.cross_floor)
     hebrew = F.col("a").rlike("[\\u0590-\\u05FF]")
     rows = rows.where(~hebrew | credible(F.col("similarity"), F.col("exact"), F.col("confidence"), F.col("skeleton_match"), F.col("skeleton"), F.col("a")))
     reason = (

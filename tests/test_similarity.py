@@ -1,9 +1,12 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from onomast.functions import keyboard, similarity, text
+from onomast.functions import keyboard, similarity, spelling, text
+from onomast.operators import scoring
 
 words = st.text("abc ", max_size=9)
 
@@ -59,3 +62,38 @@ def test_keyboard(spark):
 def test_normal_twin(spark):
     x = "A–b & C  d"
     assert spark.createDataFrame([(x,)], "x string").select(text.folded(F.col("x"))).first()[0] == text.normalize(x)
+
+
+def test_bounds_are_above_scores():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcde ", k=rng.randint(0, 9))) for _ in range(60)] + ["", "a", "ab", "ba", "אבגד", "אבדג"]
+    a, b = zip(*[(x, y) for x in words for y in words], strict=True)
+    bounds = similarity.score_bounds(list(a), list(b), block=97)
+    scores = [r[0] for r in similarity.compare_many(list(a), list(b))]
+    assert all(s <= u for s, u in zip(scores, bounds, strict=True))
+    assert similarity.score_bounds([], []).tolist() == []
+
+
+def test_best_spellings_equal_brute_force():
+    """Of every spelling the best comparison of all, and none below the floor, as if nothing were left out."""
+    rng = random.Random(6)
+    one = lambda letters, skeleton: (lambda t: {"text": t, "source": rng.choice(["ORIGINAL", "GENERATED", "CURATED"]), "confidence": rng.choice([0.2, 0.59, 0.75, 1.0]), "skeleton": skeleton(t)})("".join(rng.choices(letters, k=rng.randint(0, 7))))
+    latin, hebrew = lambda: one("abkln", text.latin_skeleton_of), lambda: one("אבכלנ", text.hebrew_skeleton_of)
+    pairs = []
+    for k in range(40):
+        normal = hebrew()
+        pairs.append({"variants": [latin() for _ in range(k % 7)], "own": [latin() for _ in range(k % 5)] or None, "hebrew": [hebrew() for _ in range(k % 6)] or None, "normalized": normal["text"] or "א", "written": text.hebrew_skeleton_of(normal["text"] or "א")})
+    for floor in (0.0, 0.3, 0.55):
+        at, rows, _ = scoring._best_spellings(pairs, spelling.curated_from({}), floor)
+        want = {}
+        for k, p in enumerate(pairs):
+            sides = [(0, v, w) for v in enumerate(p["variants"]) for w in p["own"] or () if w["text"]]
+            sides += [(1000, v, {"text": p["normalized"], "skeleton": p["written"], "confidence": 1.0}) for v in enumerate(p["hebrew"] or ())]
+            for start, (seq, v), w in sides:
+                c = min(v["confidence"], w["confidence"])
+                score = 0.8 + 0.19 * c if v["text"] == w["text"] else similarity.compare_many([v["text"]], [w["text"]])[0][0] * (0.7 + 0.3 * c)
+                if v["text"] != w["text"] and v["skeleton"] == w["skeleton"] and len(v["skeleton"]) >= 4:
+                    score = max(score, 0.78 * c)
+                if score >= floor and score > want.get((k, start + seq), (-1,))[0]:
+                    want[k, start + seq] = score, v["text"], w["text"]
+        assert {(k, r[0]): (r[6], r[1], r[2]) for k, r in zip(at, rows, strict=True)} == want
