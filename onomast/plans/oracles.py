@@ -119,15 +119,38 @@ def _entries() -> str:
     return "e AS (SELECT i * 4096 AS entry_ord, 'b_' || i || 'mp' AS code, name AS label, " + f"{_normal('name')} AS normalized, {_compact(_normal('name'))} AS compact FROM v)"
 
 
-_POSTINGS = f"""{_V}, {_entries()},
+def _repeats(x: str, drop: str) -> str:
+    kept = f"array_to_string(list_filter(list_transform(range(1, length({x}) + 1), lambda i: CASE WHEN substr({x}, i, 1) = substr({x}, i - 1, 1) AND i > 1 THEN '' ELSE substr({x}, i, 1) END), lambda c: c <> ''), '')"
+    return f"coalesce(regexp_replace({kept}, '{drop}', '', 'g'), '')"
+
+
+def _skeleton(x: str) -> str:
+    x = f"lower({x})"
+    for p, to in (("ph", "p"), ("f", "p"), ("x", "ks"), ("ch", "k"), ("[cq]", "k"), ("[aeiouwyv]", "")):
+        x = f"regexp_replace({x}, '{p}', '{to}', 'g')"
+    # RE2 has neither lookahead nor back references: letters are judged one by one
+    x = f"coalesce(array_to_string(list_transform(range(1, length({x}) + 1), lambda i: CASE WHEN substr({x}, i, 1) = 'h' AND NOT regexp_matches(substr({x}, i + 1, 1), '[a-z]') THEN '' ELSE substr({x}, i, 1) END), ''), '')"
+    return _repeats(x, "[^a-z0-9]")
+
+
+def _posted(entries: str) -> str:
+    return f"""{_V}, {entries},
 posted AS (
   SELECT 'norm' AS channel, normalized AS key, entry_ord FROM e UNION ALL SELECT 'compact', compact, entry_ord FROM e UNION ALL SELECT 'prefix2', substr(compact, 1, 2), entry_ord FROM e
   UNION ALL SELECT 'first1', substr(compact, 1, 1), entry_ord FROM e UNION ALL SELECT 'bigram', unnest({_grams('compact')}), entry_ord FROM e)"""
 
 
-def _pool(queries: str) -> str:
+_POSTINGS = _posted(_entries())
+# names in Latin letters are their own romanization
+_ROMANIZED = f"""romanized AS (
+  SELECT 'tr_exact' AS channel, normalized AS key, entry_ord FROM e UNION ALL SELECT 'tr_prefix2', substr(normalized, 1, 2), entry_ord FROM e
+  UNION ALL SELECT 'tr_bigram', unnest({_grams('normalized')}), entry_ord FROM e
+  UNION ALL SELECT 'tr_skel', key, entry_ord FROM (SELECT {_skeleton('normalized')} AS key, entry_ord FROM e) WHERE length(key) >= 3)"""
+
+
+def _pool(queries: str, posted: str = _POSTINGS) -> str:
     """CTEs down to ``pool`` for ``queries`` (query_id, raw)."""
-    return f"""{_POSTINGS},
+    return f"""{posted},
 q AS (SELECT query_id, raw, {_normal('raw')} AS normalized, {_compact(_normal('raw'))} AS compact FROM ({queries})),
 look AS (
   SELECT query_id, 0 AS seq, 'norm' AS channel, normalized AS key, 1000 AS weight FROM q UNION ALL SELECT query_id, 1, 'compact', compact, 900 FROM q
@@ -166,6 +189,8 @@ dec AS (
       match_type IN ('COMPACT_EXACT', 'RELATED_NAME') OR score >= {review} AS review FROM best) b USING (query_id))"""
 
 
+_ALIKE_NAMES = "SELECT i AS k, name FROM v UNION ALL SELECT s_suppkey + 1000, s_name FROM supplier"
+_SUPPLIER_POOL = _pool("SELECT s_suppkey AS query_id, s_name AS raw FROM supplier", _posted(f"e AS (SELECT k * 4096 AS entry_ord, {_normal('name')} AS normalized, {_compact(_normal('name'))} AS compact FROM ({_ALIKE_NAMES}))"))
 _SLIP_QUERIES = f"WITH {_SLIPS} SELECT query_id, raw FROM slips"
 
 
@@ -183,20 +208,6 @@ def _quote(x: str) -> str:
     return f"'\"' || replace({x}, '\"', '\"\"') || '\"'"
 
 
-def _skeleton(x: str) -> str:
-    x = f"lower({x})"
-    for p, to in (("ph", "p"), ("f", "p"), ("x", "ks"), ("ch", "k"), ("[cq]", "k"), ("[aeiouwyv]", "")):
-        x = f"regexp_replace({x}, '{p}', '{to}', 'g')"
-    # RE2 has neither lookahead nor back references: letters are judged one by one
-    x = f"coalesce(array_to_string(list_transform(range(1, length({x}) + 1), lambda i: CASE WHEN substr({x}, i, 1) = 'h' AND NOT regexp_matches(substr({x}, i + 1, 1), '[a-z]') THEN '' ELSE substr({x}, i, 1) END), ''), '')"
-    return _repeats(x, "[^a-z0-9]")
-
-
-def _repeats(x: str, drop: str) -> str:
-    kept = f"array_to_string(list_filter(list_transform(range(1, length({x}) + 1), lambda i: CASE WHEN substr({x}, i, 1) = substr({x}, i - 1, 1) AND i > 1 THEN '' ELSE substr({x}, i, 1) END), lambda c: c <> ''), '')"
-    return f"coalesce(regexp_replace({kept}, '{drop}', '', 'g'), '')"
-
-
 def _hebrew_skeleton(x: str) -> str:
     return _repeats(f"regexp_replace(translate({x}, 'ךםןףץ', 'כמנפצ'), '[אויעה]', '', 'g')", r"[^\x{05D0}-\x{05EA}]")
 
@@ -222,7 +233,8 @@ ORACLES = {
           lambda t: '{{"locale":"' || (t ->> '$.locale') || '","value":"' || (t ->> '$.value') || '"}}'), ','), '') || ']', '') END AS translations
       FROM b WHERE json_type(b, '$.code') = 'VARCHAR' AND json_type(b, '$.label') = 'VARCHAR'""",
     "bigram_postings": f"WITH {_POSTINGS} SELECT key, entry_ord FROM posted WHERE channel = 'bigram'",
-    "posting_stats": f"WITH {_POSTINGS} SELECT channel, count(*) AS postings, count(DISTINCT key) AS keys FROM posted GROUP BY channel",
+    "posting_stats": f"""WITH {_POSTINGS}, {_ROMANIZED}
+      SELECT channel, count(*) AS postings, count(DISTINCT key) AS keys FROM (FROM posted UNION ALL FROM romanized) GROUP BY channel""",
     "osa_pairs": _with(f"{_ALL_PAIRS}, {_osa('pairs')}", "SELECT a, b, d AS osa FROM osa"),
     "osa_kernel": _with(f"{_ALL_PAIRS}, {_osa('pairs')}", "SELECT a, b, d AS osa FROM osa"),
     "dice_pairs": f"WITH {_ALL_PAIRS} SELECT a, b, round(2 * len(list_intersect({_grams('a')}, {_grams('b')})) / (len({_grams('a')}) + len({_grams('b')})), 6) AS dice FROM pairs",
@@ -264,11 +276,13 @@ ORACLES = {
     "curated_excluded": f"""WITH r AS ({s.RECORDS_SQL}) SELECT DISTINCT record_id FROM (SELECT record_id, unnest(list_concat([latin], coalesce(latin_alternatives, CAST([] AS VARCHAR[])))) AS x FROM r) JOIN (VALUES {_EXCLUDED}) t(w) ON w = {_normal('x')}""",
     "latin_skeleton": f"WITH {_V}, n AS (SELECT name FROM v UNION {s.LATIN_SQL}) SELECT name, {_skeleton('name')} AS skeleton FROM n",
     "hebrew_skeleton": f"SELECT name, {_hebrew_skeleton('name')} AS skeleton FROM (SELECT DISTINCT name FROM ({s.HEBREW_SQL}))",
-    "skeleton_retrieval": f"""WITH {_SLIPS}, f AS (SELECT i AS entry, {_skeleton('name')} AS key FROM v), a AS (SELECT query_id, {_skeleton(_normal('raw'))} AS key FROM (SELECT query_id, raw FROM slips))
-      SELECT query_id, entry, key FROM a JOIN f USING (key) WHERE length(key) >= 3""",
-    "deletion_neighbourhood": f"""WITH {_V}, k AS (SELECT DISTINCT key FROM (SELECT {_skeleton('name')} AS key FROM v) WHERE length(key) >= 4),
-      c AS (SELECT DISTINCT key, cut FROM (SELECT key, key AS cut FROM k UNION ALL SELECT key, substr(key, 1, i - 1) || substr(key, i + 1) FROM (SELECT key, unnest(range(1, length(key) + 1)) AS i FROM k)))
-      SELECT a.key AS a, b.key AS b, count(*) AS shared FROM c a JOIN c b USING (cut) WHERE a.key < b.key GROUP BY ALL""",
+    "skeleton_retrieval": f"""WITH {_SLIPS}, {_entries()}, {_ROMANIZED}, a AS (SELECT query_id, {_skeleton(_normal('raw'))} AS key FROM slips)
+      SELECT query_id, entry_ord, 800 AS retrieval_score FROM a JOIN romanized USING (key) WHERE channel = 'tr_skel'""",
+    "retrieve_romanized": f"""WITH {_SLIPS}, {_entries()}, {_ROMANIZED}, n AS (SELECT query_id, {_normal('raw')} AS name FROM slips),
+      a AS (SELECT query_id, 'tr_exact' AS channel, name AS key, 1000 AS weight FROM n UNION ALL SELECT query_id, 'tr_skel', {_skeleton('name')}, 800 FROM n
+        UNION ALL SELECT query_id, 'tr_prefix2', substr(name, 1, 2), 5 FROM n UNION ALL SELECT query_id, 'tr_bigram', unnest({_grams('name')}), 1 FROM n WHERE length(name) > 1)
+      SELECT query_id, entry_ord, sum(weight)::BIGINT AS retrieval_score FROM a JOIN romanized USING (channel, key) GROUP BY ALL""",
+    "retrieve_pool_cut": f"WITH {_SUPPLIER_POOL} SELECT query_id, entry_ord, retrieval_score, pool_rank::INT AS pool_rank FROM pool",
     "variant_best_confidence": f"""SELECT query_id, value, source, confidence, place FROM (SELECT *, min(seq) OVER (PARTITION BY query_id, value) AS place, row_number() OVER (PARTITION BY query_id, value ORDER BY confidence DESC, seq) AS r FROM ({s.VARIANTS_SQL})) WHERE r = 1""",
     "credible_filter": f"""SELECT id, CASE WHEN exact THEN confidence >= 0.5 WHEN skeleton_match AND length(skeleton) >= 4 THEN true WHEN length(regexp_replace(variant, '\\s', '', 'g')) < 7 THEN similarity >= 0.95 ELSE similarity >= 0.72 END AS credible FROM ({s.CREDIBLE_SQL})""",
     "evidence_merge": f"""WITH e AS ({s.EVIDENCE_SQL}), a AS (SELECT * FROM e WHERE kind = 'spelling'), p AS (SELECT * FROM e WHERE kind = 'sound'),

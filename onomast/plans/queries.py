@@ -88,7 +88,9 @@ def bigram_postings(spark, folder):
 
 
 def posting_stats(spark, folder):
-    return _catalogue(spark, folder).postings.groupBy("channel").agg(F.count("*").alias("postings"), F.countDistinct("key").alias("keys"))
+    """Channels of spelling; those of sound come from readings, which SQL does not know."""
+    posted = Catalogue.of(_brands(spark, folder)).postings.where("channel not like 'ph%'")
+    return posted.groupBy("channel").agg(F.count("*").alias("postings"), F.countDistinct("key").alias("keys"))
 
 
 def osa_pairs(spark, folder):
@@ -230,27 +232,41 @@ def hebrew_skeleton(spark, folder):
     return _values(spark, samples.HEBREW).distinct().select("name", text.hebrew_skeleton(F.col("name")).alias("skeleton"))
 
 
+def _romanized_lookups(spark, folder) -> tuple[DataFrame, Catalogue]:
+    c = Catalogue.of(_brands(spark, folder))
+    return retrieval.cross_script_lookups(prepared(_slips(spark, folder), c)), c
+
+
 def skeleton_retrieval(spark, folder):
-    v = _vocabulary(spark, folder)
-    filed = v.select(text.latin_skeleton(F.col("name")).alias("key"), F.col("i").alias("entry")).where(F.length("key") >= index.SKELETON_LEAST)
-    asked = _slips(spark, folder).select("query_id", text.latin_skeleton(text.folded(F.col("raw"))).alias("key"))
-    return asked.join(filed, "key").select("query_id", "entry", "key")
+    looked, c = _romanized_lookups(spark, folder)
+    return retrieval.pool(looked.where("channel = 'tr_skel'"), c.postings).select("query_id", "entry_ord", "retrieval_score")
+
+
+def retrieve_romanized(spark, folder):
+    looked, c = _romanized_lookups(spark, folder)
+    return retrieval.pool(looked, c.postings).select("query_id", "entry_ord", "retrieval_score")
+
+
+def retrieve_pool_cut(spark, folder):
+    """A catalogue that grows with the tables, of names so alike that the pool's cut decides: all suppliers and parts."""
+    brands = _brands(spark, folder).union(_table(spark, folder, "supplier").select(F.col("s_suppkey") + 1000, F.concat(F.lit("s_"), "s_suppkey"), "s_name"))
+    names = _table(spark, folder, "supplier").select(F.col("s_suppkey").cast("long").alias("query_id"), F.col("s_name").alias("raw"))
+    c = Catalogue.of(brands, across=False)
+    return retrieval.pool(retrieval.same_script_lookups(prepared(names, c)), c.postings)
 
 
 def deletion_neighbourhood(spark, folder):
-    """Skeletons one letter apart: deletions of the one meet the other, or its deletions."""
-    keys = _vocabulary(spark, folder).select(text.latin_skeleton(F.col("name")).alias("key")).where(F.length("key") >= sound.DELETION_LENGTH).distinct()
-    cut = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.concat(F.col("key").substr(F.lit(1), i - 1), F.col("key").substr(i + 1, F.length("key")))))
-    filed = keys.select("key", F.explode(F.array_distinct(F.concat(F.array("key"), cut))).alias("cut"))
-    a, b = filed.select(F.col("key").alias("a"), "cut"), filed.select(F.col("key").alias("b"), "cut")
-    return a.join(b, "cut").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    """Entries whose sound keys, or those with a consonant left out, meet the names'; the spelling's pool adds none here."""
+    c = Catalogue.of(_values(spark, samples.BRANDS), samples.RULES)
+    q = prepared(_values(spark, samples.NAMES), c)
+    none = spark.createDataFrame([], "query_id long, entry_ord long, pool_rank int")
+    return retrieval.sound_pool(q, c.postings, c.entries, none).select("query_id", "entry_ord", "sound_rank")
 
 
 def variant_best_confidence(spark, folder):
-    v = _values(spark, samples.VARIANTS)
-    w = Window.partitionBy("query_id", "value")
-    v = v.withColumn("r", F.row_number().over(w.orderBy(F.desc("confidence"), "seq"))).withColumn("place", F.min("seq").over(w))
-    return v.where("r = 1").select("query_id", "value", "source", "confidence", "place")
+    v = _values(spark, samples.VARIANTS).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("seq", "value", "source", "confidence"))).alias("made"))
+    best = spelling.with_best(v, "made").select("query_id", F.posexplode("best").alias("place", "b"))
+    return best.select("query_id", "b.value", "b.source", "b.confidence", "place")
 
 
 def hebrew_variants(spark, folder):
@@ -336,7 +352,7 @@ QUERIES = {
     for f in (
         normalize_names, detect_script, cross_script_pairs, parse_name_list, adapt_catalogue_json, bigram_postings, posting_stats, osa_pairs, osa_kernel, dice_pairs, token_similarity_pairs,
         prefix_signals, transposition_pairs, composite_similarity, fuzzy_class, partial_match, single_substitution, keyboard_plausible, retrieve_same_script, candidates_top5, reserved_slots,
-        decide_rules, alias_lookup, curated_explode, curated_excluded, latin_skeleton, hebrew_skeleton, skeleton_retrieval, deletion_neighbourhood, variant_best_confidence, hebrew_variants,
+        decide_rules, alias_lookup, curated_explode, curated_excluded, latin_skeleton, hebrew_skeleton, skeleton_retrieval, retrieve_romanized, retrieve_pool_cut, deletion_neighbourhood, variant_best_confidence, hebrew_variants,
         latin_variants, phonetic_match, phonetic_keys, credible_filter, evidence_merge, report_rows, report_csv, report_tally, report_text, terminal_text, review_selection, review_display,
         allocate_codes, check_names, check_names_calibrated, check_names_docs, check_cross_script,
     )
