@@ -277,7 +277,7 @@ ORACLES = {
     "latin_skeleton": f"WITH {_V}, n AS (SELECT name FROM v UNION {s.LATIN_SQL}) SELECT name, {_skeleton('name')} AS skeleton FROM n",
     "hebrew_skeleton": f"SELECT name, {_hebrew_skeleton('name')} AS skeleton FROM (SELECT DISTINCT name FROM ({s.HEBREW_SQL}))",
     "skeleton_retrieval": f"""WITH {_SLIPS}, {_entries()}, {_ROMANIZED}, a AS (SELECT query_id, {_skeleton(_normal('raw'))} AS key FROM slips)
-      SELECT query_id, entry_ord, 800 AS retrieval_score FROM a JOIN romanized USING (key) WHERE channel = 'tr_skel'""",
+      SELECT query_id, entry_ord, 800::BIGINT AS retrieval_score FROM a JOIN romanized USING (key) WHERE channel = 'tr_skel'""",
     "retrieve_romanized": f"""WITH {_SLIPS}, {_entries()}, {_ROMANIZED}, n AS (SELECT query_id, {_normal('raw')} AS name FROM slips),
       a AS (SELECT query_id, 'tr_exact' AS channel, name AS key, 1000 AS weight FROM n UNION ALL SELECT query_id, 'tr_skel', {_skeleton('name')}, 800 FROM n
         UNION ALL SELECT query_id, 'tr_prefix2', substr(name, 1, 2), 5 FROM n UNION ALL SELECT query_id, 'tr_bigram', unnest({_grams('name')}), 1 FROM n WHERE length(name) > 1)
