@@ -38,11 +38,18 @@ class Arguments:
     names: list[str] = field(default_factory=list)
     input: str | None = None
     out: str | None = None
+    catalogue: str | None = None
+    rules: str | None = None
+    cache: str | None = None
     help: bool = False
 
 
+#: Options with a value, by the field that takes it.
+OPTIONS = {"-i": "input", "--input": "input", "-o": "out", "--out": "out", "-c": "catalogue", "--catalogue": "catalogue", "-r": "rules", "--rules": "rules", "--cache": "cache"}
+
+
 def parse_arguments(argv: list[str]) -> Arguments:
-    """-i/--input FILE, -o/--out BASE, -h/--help and names; after ``--`` all are names, and ``-`` alone is one."""
+    """Names and options (OPTIONS, -h/--help); after ``--`` all are names, and ``-`` alone is one."""
     got, rest = Arguments(), list(argv)
     while rest:
         arg = rest.pop(0)
@@ -51,14 +58,13 @@ def parse_arguments(argv: list[str]) -> Arguments:
             break
         if arg in ("-h", "--help"):
             got.help = True
-        elif arg in ("-i", "--input", "-o", "--out"):
+        elif arg in OPTIONS:
             if not rest:
                 raise ValueError(f"{arg} needs a value.")
             value = rest.pop(0)
-            if arg in ("-i", "--input"):
-                got.input = value
-            else:
-                got.out = value[:-4] if value.lower().endswith((".txt", ".csv")) else value
+            if OPTIONS[arg] == "out" and value.lower().endswith((".txt", ".csv")):
+                value = value[:-4]
+            setattr(got, OPTIONS[arg], value)
         elif arg.startswith("-") and len(arg) > 1:
             raise ValueError(f"Unknown option: {arg}")
         else:
