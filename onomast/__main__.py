@@ -11,7 +11,6 @@ from collections.abc import Iterable
 from typing import TextIO
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from onomast.plans.check import Catalogue, check, release
 from onomast.sources import catalogue as catalogues
@@ -53,19 +52,19 @@ def run(spark: SparkSession, args: lists.Arguments, stdin: Iterable[str] = (), o
     if typed:
         rows, spent = _typed(spark, stdin, held, out)
     else:
-        checked = check(lists.names_of(spark, args, stdin), held)
-        rows, began = sinks.report_rows(checked).persist(), time.monotonic()
-        rows.count()
-        spent = time.monotonic() - began
+        checked, began = check(lists.names_of(spark, args, stdin), held), time.monotonic()
+        kept = checked.persist()
+        kept.count()
+        rows, spent = sinks.report_rows(kept), time.monotonic() - began
         if not args.input:
-            for r in sinks.terminal(checked).orderBy("query_id").toLocalIterator():
+            for r in sinks.terminal(kept).orderBy("query_id").toLocalIterator():
                 out.write(r["text"] + "\n")
         release(checked)
     ms = lambda x: round(1000 * x, 3)
     timings = {"build": ms(built - start), "check": ms(spent), "total": ms(time.monotonic() - start)}
     paths = sinks.write_reports(rows, args.out or f"check-{at:%Y%m%d-%H%M%S}", at, timings, size)
     out.write("".join(f"Wrote {os.path.abspath(p)}\n" for p in paths.values()))
-    for part in (rows, held.postings, held.entries):
+    for part in (held.postings, held.entries, *([] if typed else [kept])):
         part.unpersist()
     return paths
 
@@ -79,9 +78,11 @@ def _typed(spark: SparkSession, lines: Iterable[str], held: Catalogue, out: Text
             if line.strip():
                 began = time.monotonic()
                 checked = check(spark.createDataFrame([(len(rows), line.rstrip("\r\n"))], "query_id long, raw string"), held)
-                done = sinks.report_rows(checked).first()
-                out.write(sinks.terminal(checked).first()["text"] + "\n")
+                kept = checked.persist()
+                done = sinks.report_rows(kept).first()
+                out.write(sinks.terminal(kept).first()["text"] + "\n")
                 release(checked)
+                kept.unpersist()
                 rows.append(done)
                 spent += time.monotonic() - began
     except KeyboardInterrupt:
