@@ -1,14 +1,18 @@
-"""Lookups against postings: an equi-join, a sum of weights, and a cut to the best of each name."""
+"""Lookups against postings: a sum of the weights of shared keys, and a cut to the best of each name."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from onomast.functions.text import bigrams, comparable_latin, compacted, cross_script, latin_skeleton
+from onomast.operators import pooling
 
 #: Spellings of a name that take part in the bigram sweep of the native channels, and their greatest length.
 SWEPT, SWEPT_LENGTH = 8, 10
+#: Lookups of the names, and postings of the entries, that meet in one call of the pool's kernel, about.
+CHUNK_LOOKUPS, BLOCK_POSTINGS = 40_000, 2_000_000
 LOOKUP = "struct<channel:string,key:string,weight:int>"
 
 
@@ -66,13 +70,31 @@ def pool(lookups: DataFrame, posted: DataFrame, size: int = 100) -> DataFrame:
     """The ``size`` entries of each name with the greatest weight: query_id, entry_ord, retrieval_score, pool_rank.
 
     Ties go to the entry that was met first, in the order of lookups and then of the catalogue.  Equal lookups of a
-    name are summed before the join, so a key that many spellings share is joined once; sums are combined on the map
-    side before the one shuffle by name.  A common key's bucket is split by AQE's skew join.
+    name are summed first.  Names, in chunks, meet the catalogue, in blocks, inside :func:`pooling.pooled`; the best of
+    each block are ranked together.  How many chunks and blocks there are follows from counts inside the plan.
     """
-    grouped = lookups.groupBy("query_id", "channel", "key").agg(F.sum("weight").alias("weight"), F.min("lookup_seq").alias("lookup_seq"))
-    hits = grouped.join(posted, ["channel", "key"])
-    scored = hits.groupBy("query_id", "entry_ord").agg(F.sum("weight").alias("retrieval_score"), F.min(F.struct("lookup_seq", "entry_ord")).alias("first"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("retrieval_score"), "first"))
+    key = F.concat_ws(":", "channel", "key").alias("key")
+    one = lookups.groupBy("query_id", key).agg(F.sum("weight").alias("weight"), F.min("lookup_seq").cast("long").alias("lookup_seq"))
+    asked = one.groupBy("query_id").agg(F.collect_list(F.struct("key", "weight", "lookup_seq")).alias("asked"))
+    # sound has a pool of its own
+    filed = posted.where(~F.col("channel").startswith("ph_")).groupBy("entry_ord").agg(F.collect_list(key).alias("keys"))
+    parts = lambda d, lists, each, name: d.agg(F.greatest(F.lit(1), F.ceil(F.sum(F.size(lists)) / each)).cast("int").alias(name))
+    counts = F.broadcast(parts(asked, "asked", CHUNK_LOOKUPS, "chunks").crossJoin(F.broadcast(parts(filed, "keys", BLOCK_POSTINGS, "blocks"))))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = asked.crossJoin(counts).select("query_id", "asked", part("query_id", "chunks").alias("chunk"), every("blocks").alias("block"))
+    right = filed.crossJoin(counts).select("entry_ord", "keys", part("entry_ord", "blocks").alias("block"), every("chunks").alias("chunk"))
+
+    def run(names: pa.Table, entries: pa.Table) -> pa.Table:
+        return pooling.pooled(names, entries, size)
+
+    kinds = [f"{c} {d.schema[c].dataType.simpleString()}" for d, c in ((lookups, "query_id"), (posted, "entry_ord"))]
+    # the work is in the kernel, not in the bytes: by number, so that few bytes are not put into few tasks
+    spark = lookups.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    left, right = (d.repartition(tasks, "chunk", "block").groupBy("chunk", "block") for d in (left, right))
+    scored = left.cogroup(right).applyInArrow(run, ", ".join([*kinds, "retrieval_score long", "first long"]))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("retrieval_score"), "first", "entry_ord"))
     return scored.withColumn("pool_rank", rank).where(F.col("pool_rank") <= size).drop("first")
 
 
