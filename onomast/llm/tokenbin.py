@@ -25,6 +25,8 @@ END_ID = 2
 _NULL = -(2**63)
 #: Documents that one task reads back at a time.
 READ_DOCS = 20_000
+#: Units of a worker's table while it writes: nothing else here holds memory, and what the table lacks is most of the time.
+UNITS = 800_000
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int, end_id: int = END_ID) -> dict:
@@ -42,7 +44,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, code = TaskContext.get().partitionId(), encoder(tokenizer)
+        part, code = TaskContext.get().partitionId(), encoder(tokenizer, UNITS)
         mine = {x: f"{to}/.{part:06d}-{uuid.uuid4().hex}.{x}" for x in ("ids", "idx", "doc")}
         at = docs_n = 0
         out = {x: open(p, "wb") for x, p in mine.items()}

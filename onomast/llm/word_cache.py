@@ -146,11 +146,13 @@ class CachedEncoder:
 _ENCODERS: dict[str, CachedEncoder] = {}
 
 
-def encoder(path: str) -> CachedEncoder:
-    """The worker's encoder for a file; its table outlives a task, as workers are reused."""
+def encoder(path: str, most: int | None = None) -> CachedEncoder:
+    """The worker's encoder for a file, with tables of ``most`` units; they outlive a task, as workers are reused."""
     if path not in _ENCODERS:
         _ENCODERS[path] = CachedEncoder(path)
-    return _ENCODERS[path]
+    code = _ENCODERS[path]
+    code._after.most = code._heads.most = MAX_UNITS if most is None else most  # a fuller table is emptied by its next unit
+    return code
 
 
 def release() -> None:
