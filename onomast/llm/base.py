@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: White space and words as the contracts define them.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a batch that goes to Python; texts may be long, so batches are short.
-BATCH_ROWS = 512
+#: Rows and bytes of a batch that goes to Python, at most (a longer row is a batch); texts may be long, so both are bounded.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 #: Keys that hold more than a 1/HEAVY_KEYS share of the rows count as heavy, so there are at most so many ...
 HEAVY_KEYS = 1000
 #: ... and, of larger inputs, keys with more rows than one task should join; MOST_HEAVY bounds their number and broadcast.
@@ -49,8 +49,9 @@ def own_session(spark: SparkSession) -> SparkSession:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Bounds the rows of a batch that goes to Python, in this session from now on."""
+    """Bounds the rows and bytes of a batch that goes to Python, in this session from now on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:

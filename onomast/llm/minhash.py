@@ -196,8 +196,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
         for batch in batches:
             a, b, x, y = batch.columns
             ids, good = list(zip(a.to_pylist(), b.to_pylist(), strict=True)), []
-            for i, (s, t) in enumerate(zip(x.to_pylist(), y.to_pylist(), strict=True)):
-                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+            for i, (s, t) in enumerate(zip(x, y, strict=True)):
+                s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)  # not copied
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 if 100 * both >= percent * (len(s) + len(t) - both) and forest.joins(*ids[i]):
                     good.append(i)

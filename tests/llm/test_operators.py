@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -284,6 +285,19 @@ def test_warc(spark, nothing):
     assert warc.read(spark, empty).count() == 0
 
 
+def test_batches_to_python_are_bounded_in_bytes(spark):
+    """Long texts go to Python in small batches, in the session that queries use."""
+    own = base.own_session(spark)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    long = own.range(0, 200, 1, 1).select(F.repeat(F.lit("word "), 20_000).alias("text"))
+    got = long.mapInArrow(run, "n long, bytes long").collect()
+    assert sum(r["n"] for r in got) == 200 and max(r["bytes"] for r in got) <= base.BATCH_BYTES + 200_000
+
+
 def test_fingerprints(spark, nothing):
     random.seed(9)
     texts = ODD + ["Same  TEXT here", "same text\nhere", "ｓａｍｅ text here"] + ["".join(random.choices("ab é", k=random.randint(0, 50))) for _ in range(60)]
