@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,7 +50,8 @@ def buckets(docs: DataFrame, width: int = 1, hasher: Callable[[bytes, int], str]
 
     The result is empty unless two unlike texts share 128 bits.  Only texts of buckets with several rows are moved,
     and copies are merged before they are: Spark's grouping compares the bytes of equal keys.  Digests of repeated
-    texts are broadcast up to MOST_DIGESTS, beyond which both sides are shuffled.
+    texts are broadcast up to MOST_DIGESTS, beyond which both sides are shuffled.  Up to that number workers know the
+    checksums of those digests, so other texts do not leave them, and copies within a batch leave them once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,12 +61,17 @@ def buckets(docs: DataFrame, width: int = 1, hasher: Callable[[bytes, int], str]
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = [canonical(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_hash(x, width, hasher) for x in c], pa.string()), pa.array(c, pa.string())], names=["digest", "canonical"])
+            h = [_hash(x, width, hasher) for x in c]
+            maybe = range(len(h)) if sums is None else np.flatnonzero(np.isin([zlib.crc32(x.encode()) for x in h], sums))
+            once = list(dict.fromkeys((h[i], c[i]) for i in maybe))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in once], pa.string()), pa.array([x for _, x in once], pa.string())], names=["digest", "canonical"])
 
     text = docs.select(F.col("text").cast("string").alias("text"))
     twice = staged(text.mapInArrow(run, "digest string").groupBy("digest").count().where("count > 1").select("digest"), "buckets")
-    few = F.broadcast(twice) if twice.count() <= MOST_DIGESTS else twice
-    texts = text.mapInArrow(both, "digest string, canonical string").join(few, "digest", "left_semi").groupBy("digest", "canonical").agg(F.count("*").alias("n"))
+    known = twice.count() <= MOST_DIGESTS
+    few = F.broadcast(twice) if known else twice
+    sums = twice.select(F.crc32("digest").alias("sum")).toArrow()["sum"].to_numpy() if known else None
+    texts = text.mapInArrow(both, "digest string, canonical string").join(few, "digest", "left_semi").distinct()
     first = texts.withColumn("ordinal", F.row_number().over(Window.partitionBy("digest").orderBy("canonical")) - 1)
     return staged(first.where("ordinal > 0").select("digest", "canonical", "ordinal"), "collisions")
 

@@ -316,6 +316,25 @@ def test_fingerprints(spark, nothing):
     assert one["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest()
 
 
+@pytest.mark.parametrize("most", [500_000, 1])
+def test_only_repeated_texts_leave_the_workers(spark, monkeypatch, most):
+    """The comparison of bytes gets each repeated text of a batch once; beyond MOST_DIGESTS all, and the join keeps the repeated."""
+    monkeypatch.setattr(digest, "MOST_DIGESTS", most)
+    sent, real = [], type(spark.range(0)).mapInArrow
+
+    def spied(self, f, schema, *a, **b):
+        out = real(self, f, schema, *a, **b)
+        if "canonical" in schema:
+            sent.append(out)
+        return out
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", spied)
+    texts = [f"alone {k}" for k in range(30)] + ["Copy", "copy "] * 20 + ["other", "OTHER"]
+    assert digest.buckets(docs_of(spark, texts).coalesce(1)).count() == 0
+    got = sorted(r["canonical"] for r in sent[0].collect())
+    assert got == (["copy", "other"] if most > 1 else sorted([f"alone {k}" for k in range(30)] + ["copy", "other"]))
+
+
 def test_unlike_texts_in_a_bucket(spark, monkeypatch):
     """With digests that collide, fingerprints still are equal for equal canonical texts alone."""
     hasher = lambda data, seed: f"{len(data) % 4 if seed == 0 else data[:1].hex()}"
